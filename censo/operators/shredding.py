@@ -177,8 +177,9 @@ def flatten_batch(values: list, records: list, pair: tuple[str, str] | None) ->
 
 
 def shred_json(
-    df: DataFrame, json_col: str, keep: list[str], roots: list[str], pair: tuple[str, str] | None = ("campo", "valor"), batch: int = 512
-) -> DataFrame:
+    df: DataFrame, json_col: str, keep: list[str], roots: list[str], pair: tuple[str, str] | None = ("campo", "valor"), batch: int = 512,
+    mark_valid: bool = False,
+) -> DataFrame:
     """One row per non-blank leaf of the blocks ``roots`` of a JSON column.
 
     Result: the columns ``keep``, ``bloque`` (the root key), ``tabla`` (path of the repeated ancestor below it), ``ruta`` (positions in the
@@ -186,7 +187,8 @@ def shred_json(
 
     Invalid or null JSON, records that are no object, and absent, null or blank leaves give no rows; a block sent as a JSON text counts as
     its content; numbers are the digits sent; a key given twice counts once, as its last value. Other columns of ``df`` are not read, so
-    clashing names do no harm. ``batch`` bounds the records whose shapes are united at once.
+    clashing names do no harm. ``batch`` bounds the records whose shapes are united at once. With ``mark_valid`` every valid record gives one more row whose ``bloque`` is
+    '' and the other columns null, so records can be counted in the same pass.
     """
     kept = [f for f in df.schema.fields if f.name in keep]
     kept.sort(key=lambda f: keep.index(f.name))
@@ -215,6 +217,12 @@ def shred_json(
                     parts["ruta"] += ruta
                     parts["campo"] += campo
                     parts["valor"] += valor
+                if mark_valid:
+                    valid = [i for i, (ok, _) in enumerate(decoded) if ok]
+                    rows += valid
+                    parts["bloque"] += [""] * len(valid)
+                    for c in columns[1:]:
+                        parts[c] += [None] * len(valid)
                 at = pa.array(rows, pa.int64())
                 arrays = [part.column(i).take(at) for i in range(len(kept))]
                 arrays += [pa.array(parts[c], pa.string()) for c in columns]
@@ -222,14 +230,3 @@ def shred_json(
 
     return df.select(*(F.col(f.name) for f in kept), F.col(json_col).alias("_json")).mapInArrow(run, schema)
 
-
-def valid_json(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of the rows whose JSON text is valid, by the same decoder as ``shred_json``."""
-    kept = sorted((f for f in df.schema.fields if f.name in keep), key=lambda f: keep.index(f.name))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            good = pa.array([decode(x)[0] for x in part.column(len(kept)).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(i).filter(good) for i in range(len(kept))], [f.name for f in kept])
-
-    return df.select(*(F.col(f.name) for f in kept), F.col(json_col).alias("_json")).mapInArrow(run, T.StructType(kept))

@@ -25,9 +25,9 @@ PURPOSE = (
 BLOCKS = ("areasTerapeuticas", "calendario", "poblacion", "proposito")
 
 
-def leaves(detalle: DataFrame, keep: list[str], roots: tuple[str, ...] = BLOCKS) -> DataFrame:
+def leaves(detalle: DataFrame, keep: list[str], roots: tuple[str, ...] = BLOCKS, mark_valid: bool = False) -> DataFrame:
     """Flat leaves with ``clave``, the raw key of the leaf."""
-    flat = shred_json(detalle, "registro", keep, list(roots))
+    flat = shred_json(detalle, "registro", keep, list(roots), mark_valid=mark_valid)
     return flat.withColumn("clave", F.substring_index("campo", ".", -1))
 
 

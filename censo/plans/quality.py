@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censo.operators.profiling import Rule, profile_by_load, value_counts
-from censo.operators.shredding import valid_json
 from censo.plans.nested import DATES, POPULATION, leaves
-from censo.session import table
+from censo.session import cut, table
 
 #: Flags in which -1 is no "unknown" but out of range.
 STRICT_FLAGS = ("voluntariossanos", "pacientes", "pobvulnerable", "adultos", "ancianos", "menores")
@@ -47,18 +46,20 @@ def registry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     detalle, studies = table(spark, sf_dir, "detalle"), table(spark, sf_dir, "studies")
     fields = [*DATES, *POPULATION, "total"]
     kinds = F.create_map(*(F.lit(x) for f in fields for x in (f, kind_of(f))))
-    flat = leaves(detalle, ["carga"], ("calendario", "poblacion"))
-    nested = flat.filter(((F.col("bloque") == "calendario") & F.col("clave").isin(*DATES)) | ((F.col("bloque") == "poblacion") & F.col("clave").isin(*POPULATION, "total"))).select(
-        F.lit("detalle").alias("tabla"), F.col("clave").alias("campo"), F.element_at(kinds, F.col("clave")).alias("tipo"), "carga", "valor"
-    )
-    plain = studies.select(
-        F.lit("studies").alias("tabla"), F.lit("fecha_autorizacion_aemps").alias("campo"), F.lit("fecha_iso").alias("tipo"), "carga", F.trim("fecha_autorizacion_aemps").alias("valor")
-    )
-    counts = value_counts(nested.unionByName(plain), rules())
-    per_load = valid_json(detalle, "registro", ["carga"]).groupBy("carga").agg(F.count(F.lit(1)).alias("filas"))
-    loads = per_load.select(F.lit("detalle").alias("tabla"), F.explode(F.array(*map(F.lit, fields))).alias("campo"), "carga", "filas").unionByName(
-        studies.groupBy("carga").agg(F.count(F.lit(1)).alias("filas")).select(F.lit("studies").alias("tabla"), F.lit("fecha_autorizacion_aemps").alias("campo"), "carga", "filas")
+    flat = leaves(detalle, ["carga"], ("calendario", "poblacion"), mark_valid=True)
+    wanted = ((F.col("bloque") == "calendario") & F.col("clave").isin(*DATES)) | ((F.col("bloque") == "poblacion") & F.col("clave").isin(*POPULATION, "total"))
+    # campo '' counts the rows of a load
+    nested = flat.filter(wanted | (F.col("bloque") == "")).select(
+        F.lit("detalle").alias("tabla"), F.coalesce("clave", F.lit("")).alias("campo"), F.coalesce(F.try_element_at(kinds, F.col("clave")), F.lit("")).alias("tipo"), "carga", "valor"
     )
+    date = F.struct(F.lit("fecha_autorizacion_aemps").alias("campo"), F.lit("fecha_iso").alias("tipo"), F.trim("fecha_autorizacion_aemps").alias("valor"))
+    row = F.struct(F.lit("").alias("campo"), F.lit("").alias("tipo"), F.lit(None).cast("string").alias("valor"))
+    plain = studies.select("carga", F.explode(F.array(date, row)).alias("v")).select(F.lit("studies").alias("tabla"), "v.campo", "v.tipo", "carga", "v.valor")
+    # Cut, so that the records are parsed once and the judgement stays on counts (Catalyst would push its filters below the aggregation).
+    all_counts = cut(value_counts(nested.unionByName(plain), rules()))
+    counts, rows = all_counts.filter(F.col("campo") != ""), all_counts.filter(F.col("campo") == "")
+    names = F.when(F.col("tabla") == "detalle", F.array(*map(F.lit, fields))).otherwise(F.array(F.lit("fecha_autorizacion_aemps")))
+    loads = rows.select("tabla", F.explode(names).alias("campo"), "carga", F.col("n").alias("filas"))
     return profile_by_load(counts, loads)
 
 
