@@ -98,7 +98,7 @@ KIND_SHORT = {
 # Words that open a dedication and their abbreviations.
 DEDICATION = {
     "doctor": "doctor", "dr": "doctor", "doctora": "doctora", "dra": "doctora", "san": "san", "sn": "san", "santa": "santa", "sta": "santa",
-    "virgen": "virgen", "v": "virgen", "vrg": "virgen", "vgen": "virgen", "nuestra": "nuestra", "ntra": "nuestra", "nª": "nuestra",
+    "virgen": "virgen", "v": "virgen", "vrg": "virgen", "vgen": "virgen", "nuestra": "nuestra", "ntra": "nuestra", "nra": "nuestra", "nª": "nuestra",
     "senora": "senora", "sra": "senora", "sª": "senora", "rio": "rio", "montes": "montes", "puerta": "puerta", "ciudad": "ciudad",
 }
 DEPARTMENT = frozenset("dpto departamento servicio sº serv unidad reumatologia pediatria oncologia hematologia cardiologia neurologia farmacologia medicina interna ensayos clinicos".split())
@@ -117,6 +117,7 @@ STOP = frozenset("de del la las el los y i d da do das dos e a o al".split())
 
 TOWN_WORDS = frozenset("monte vega suso sierra mar".split())
 LONG_VOCABULARY = sorted({w for w in (*KIND, *DEDICATION, *STREET, *DEPARTMENT) if len(w) >= 5})
+LONG_ABBREVIATIONS = [w for m in (KIND, DEDICATION, STREET) for w in sorted(m) if w in ABBREVIATIONS and len(w) >= 3]
 BY_LENGTH: dict[int, list[str]] = {}
 for _w in LONG_VOCABULARY:
     BY_LENGTH.setdefault(len(_w), []).append(_w)
@@ -187,8 +188,10 @@ def parse_centre(name: str | None, town: str | None = None) -> Centre:
             segments[-1].append(t)
     kind, opening, stems, tail, street, number = [], [], [], [], [], ""
     street_open, mark, whole = False, 0, False
-    for at, seg in enumerate(s for s in segments if s):
-        words = [vocabulary_word(t) for t in seg]
+    parts = [[vocabulary_word(t) for t in s] for s in segments if s]
+    for at, words in enumerate(parts):
+        if at + 1 < len(parts) and (parts[at + 1][0].isdigit() or parts[at + 1][0] in STREET_REST) and words[0] in ("cl", "c", "co") and len(words) <= 4:
+            words = ["calle", *words[1:]] if not any(w in DEDICATION for w in words) else words
         i, n = 0, len(words)
         if street_open and all(w.isdigit() or w in STREET_REST for w in words):
             number = number or next((w for w in words if w.isdigit()), "")
@@ -256,12 +259,26 @@ def parse_centre(name: str | None, town: str | None = None) -> Centre:
     return Centre(tuple(sorted(set(kind) - {"zona", "clinico", "complejo"})), tuple(sorted(set(opening))), tuple(stems), tuple(tail), tuple(street), number, named)
 
 
+@lru_cache(maxsize=50_000)
+def abbreviation(token: str) -> str | None:
+    """The abbreviation a token before a dot stands for: one of three letters or more within one edit."""
+    for word in LONG_ABBREVIATIONS:
+        if abs(len(word) - len(token)) <= 1 and damerau(token, word, 1) <= 1:
+            return word
+    return None
+
+
 def _join_dots(raw: list[str]) -> list[str]:
     """Drop the dots that end an abbreviation; the others part the text."""
     out: list[str] = []
     for t in raw:
         if t == "." and out and out[-1] in ABBREVIATIONS:
             continue
+        if t == "." and out and 3 <= len(out[-1]) <= 6:
+            near = abbreviation(out[-1])
+            if near:
+                out[-1] = near
+                continue
         out.append("|" if t == "." else t)
     return out
 
@@ -275,6 +292,10 @@ def _is_street(words: list[str], i: int) -> bool:
     w = words[i]
     if w in STREET:
         return True
+    if w in ("cl", "co") and i + 1 < len(words) and any(x.isdigit() for x in words[i + 1 :]) and not any(x in DEDICATION for x in words[i + 1 :]):
+        return True
+    if w == "cl" and words[i + 1 : i + 3] in (["de", "los"], ["de", "las"], ["de", "la"]):
+        return True
     # "C. de Peñascal, 25": a lone c that opens no kind of centre
     return w == "c" and i + 1 < len(words) and KIND.get(words[i + 1]) not in ("salud", "especialidades") and words[i + 1] not in KIND
 
