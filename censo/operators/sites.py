@@ -27,6 +27,19 @@ def deletions(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.when(n >= 6, cuts).otherwise(F.array().cast("array<string>"))))
 
 
+def mend_towns(rows: DataFrame, least_ratio: int = 2) -> DataFrame:
+    """``rows`` with a mistyped p_ciudad replaced by the town it stands for.
+
+    A spelling counts as a slip of another one when both share a form with one letter left out (one edit, swap or unreadable letter) and the
+    other has at least ``least_ratio`` times its rows. Work is on distinct spellings with their counts, not on rows.
+    """
+    towns = rows.filter("p_ciudad <> ''").groupBy("p_ciudad").agg(F.count(F.lit(1)).alias("n"))
+    keyed = towns.select("p_ciudad", "n", F.explode(deletions(F.col("p_ciudad"))).alias("d"))
+    best = keyed.groupBy("d").agg(F.max(F.struct("n", "p_ciudad")).alias("best"))
+    mended = keyed.join(best, "d").filter((F.col("best.p_ciudad") != F.col("p_ciudad")) & (F.col("best.n") >= F.col("n") * least_ratio)).groupBy("p_ciudad").agg(F.max("best").alias("to")).select("p_ciudad", F.col("to.p_ciudad").alias("_to"))
+    return rows.join(mended, "p_ciudad", "left").withColumn("p_ciudad", F.coalesce("_to", "p_ciudad")).select(*rows.columns)
+
+
 def place_keys() -> Column:
     """Keys of the place of a parsed row: its town and its postcode, as far as known."""
     return F.array_compact(F.array(F.when(F.col("p_ciudad") != "", F.concat(F.lit("t:"), "p_ciudad")), F.when(F.col("p_cp").isNotNull(), F.concat(F.lit("c:"), "p_cp"))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from censo.plans import landscape, nested, quality
+from censo.plans import completion, landscape, nested, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": nested.p2_found,
         "p3_found": quality.p3_found,
         "p3_profile": quality.p3_profile,
+        "p6_found": completion.p6_found,
+        "p6_filled": completion.p6_filled,
+        "p6_series": completion.p6_series,
     }
 
 
