@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from censo.llm import addresses
+from censo.llm import addresses, spellings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": addresses.p4_found}
+    return {"p4_found": addresses.p4_found, "p5_found": spellings.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
