@@ -16,13 +16,13 @@ from censo.session import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+    return both.join(least.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    joined = down.join(least.hint("merge"), "u")
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
@@ -40,6 +40,6 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 40
         e = cut(_small_star(_large_star(e)))
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
-            return nodes.join(e, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+            return nodes.join(e.hint("merge"), "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
         seen = tuple(state)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

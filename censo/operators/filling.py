@@ -28,7 +28,7 @@ def neighbours(df: DataFrame, entity: str, time: str, order: str, value: str, bu
     found = base.filter(F.col(value).isNotNull() & F.col("_t").isNotNull()).groupBy(entity, "_b").agg(F.max(F.struct(key.alias("k"), F.col(value).alias("v"))).alias("last"), F.min(F.struct(key.alias("k"), F.col(value).alias("v"))).alias("first"))
     w = W.partitionBy(entity).orderBy("_b")
     # every bucket that has rows needs its neighbours, also one without an observed value
-    buckets = base.select(entity, "_b").distinct().join(found, [entity, "_b"], "left")
+    buckets = base.select(entity, "_b").distinct().join(found.hint("merge"), [entity, "_b"], "left")
     around = buckets.select(
         entity, "_b",
         F.last("last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_in"),
@@ -36,7 +36,7 @@ def neighbours(df: DataFrame, entity: str, time: str, order: str, value: str, bu
     )
     inner = W.partitionBy(entity, "_b").orderBy(F.coalesce("_t", F.lit(9e18)), order)
     rows = base.withColumn("_p", F.last(seen, ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, -1))).withColumn("_n", F.first(seen, ignorenulls=True).over(inner.rowsBetween(1, W.unboundedFollowing)))
-    rows = rows.join(around, [entity, "_b"], "left")
+    rows = rows.join(around.hint("merge"), [entity, "_b"], "left")
     outer = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.v").alias("v"), F.col(f"{c}.k.t").alias("t")))
     return rows.withColumn(f"prev_{value}", F.coalesce("_p", outer("_in"))).withColumn(f"next_{value}", F.coalesce("_n", outer("_out"))).drop("_p", "_n", "_in", "_out", "_b")
 
@@ -76,4 +76,4 @@ def consensus(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n, of): the most frequent non-null value of each group (smallest on ties), its count and the count of all values."""
     counts = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     ties = counts.groupBy(group).agg(F.max("n").alias("n"), F.sum("n").alias("of"))
-    return counts.join(ties, [group, "n"]).groupBy(group, "n", "of").agg(F.min(value).alias(value)).select(group, value, "n", "of")
+    return counts.join(ties.hint("merge"), [group, "n"]).groupBy(group, "n", "of").agg(F.min(value).alias(value)).select(group, value, "n", "of")

@@ -36,8 +36,8 @@ def mend_towns(rows: DataFrame, least_ratio: int = 2) -> DataFrame:
     towns = rows.filter("p_ciudad <> ''").groupBy("p_ciudad").agg(F.count(F.lit(1)).alias("n"))
     keyed = towns.select("p_ciudad", "n", F.explode(deletions(F.col("p_ciudad"))).alias("d"))
     best = keyed.groupBy("d").agg(F.max(F.struct("n", "p_ciudad")).alias("best"))
-    mended = keyed.join(best, "d").filter((F.col("best.p_ciudad") != F.col("p_ciudad")) & (F.col("best.n") >= F.col("n") * least_ratio)).groupBy("p_ciudad").agg(F.max("best").alias("to")).select("p_ciudad", F.col("to.p_ciudad").alias("_to"))
-    return rows.join(mended, "p_ciudad", "left").withColumn("p_ciudad", F.coalesce("_to", "p_ciudad")).select(*rows.columns)
+    mended = keyed.join(best.hint("merge"), "d").filter((F.col("best.p_ciudad") != F.col("p_ciudad")) & (F.col("best.n") >= F.col("n") * least_ratio)).groupBy("p_ciudad").agg(F.max("best").alias("to")).select("p_ciudad", F.col("to.p_ciudad").alias("_to"))
+    return rows.join(mended.hint("merge"), "p_ciudad", "left").withColumn("p_ciudad", F.coalesce("_to", "p_ciudad")).select(*rows.columns)
 
 
 def place_keys() -> Column:
@@ -53,7 +53,7 @@ def compatible_code(a: Column, b: Column) -> Column:
 def star_links(keyed: DataFrame, key: str, node: str) -> DataFrame:
     """Links from every node to the smallest node of each of its keys: as many as rows, whatever the size of a group."""
     least = keyed.groupBy(key).agg(F.min(node).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keyed.join(least, key).filter(F.col(node) != F.col("b")).select(F.col(node).alias("a"), "b").distinct()
+    return keyed.join(least.hint("merge"), key).filter(F.col(node) != F.col("b")).select(F.col(node).alias("a"), "b").distinct()
 
 
 def place_links(rows: DataFrame, node: str) -> DataFrame:
@@ -68,7 +68,7 @@ def place_links(rows: DataFrame, node: str) -> DataFrame:
     full = keyed.withColumn("_c", code).select(node, F.xxhash64("_d", "_f", "_p", "_c").alias("k"))
     links = star_links(full, "k", node)
     a, b = rows.select(F.col(node).alias("a"), F.col("p_cp").alias("ca")), rows.select(F.col(node).alias("b"), F.col("p_cp").alias("cb"))
-    return links.join(a, "a").join(b, "b").filter(compatible_code(F.col("ca"), F.col("cb"))).select("a", "b")
+    return links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(compatible_code(F.col("ca"), F.col("cb"))).select("a", "b")
 
 
 def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame:
@@ -78,14 +78,14 @@ def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame
     (no postcode in a component of several, no kind among several) stand alone. Null times count as no evidence of use.
     """
     comp = connected_components(links, "a", "b")
-    r = rows.select(F.col(node).alias("node"), "p_cp", "p_tipo", F.col(when).alias("_w")).join(comp, "node")
+    r = rows.select(F.col(node).alias("node"), "p_cp", "p_tipo", F.col(when).alias("_w")).join(comp.hint("merge"), "node")
     # codes of a component: a rarer one within one slip of a more frequent one counts as that one
     codes = r.filter(F.col("p_cp").isNotNull()).groupBy("component", "p_cp").agg(F.count(F.lit(1)).alias("n"))
     by = W.partitionBy("component").orderBy(F.desc("n"), "p_cp").rowsBetween(W.unboundedPreceding, -1)
     ranked = codes.withColumn("before", F.collect_list("p_cp").over(by))
     code = ranked.withColumn("code", F.coalesce(F.get(F.filter("before", lambda x: compatible_code(x, F.col("p_cp"))), F.lit(0)), F.col("p_cp"))).select("component", "p_cp", "code")
     n_codes = code.groupBy("component").agg(F.countDistinct("code").alias("n_codes"), F.min("code").alias("only"))
-    r = r.join(code, ["component", "p_cp"], "left").join(n_codes, "component", "left")
+    r = r.join(code.hint("merge"), ["component", "p_cp"], "left").join(n_codes.hint("merge"), "component", "left")
     r = r.withColumn("code", F.when(F.coalesce("n_codes", F.lit(0)) <= 1, F.coalesce("only", F.lit(""))).otherwise(F.coalesce("code", F.concat(F.lit("?"), F.col("node").cast("string"))))).drop("n_codes", "only")
     # kinds of a part: those in use at the same time are different centres
     kinds = r.filter(F.col("p_tipo") != "").groupBy("component", "code", "p_tipo").agg(F.min("_w").alias("lo"), F.max("_w").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -95,7 +95,7 @@ def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame
     kinds = kinds.withColumn("part", F.sum(clash.cast("int")).over(w)).withColumn("parts", F.max("part").over(W.partitionBy("component", "code")))
     part = kinds.select("component", "code", "p_tipo", "part")
     several = kinds.groupBy("component", "code").agg(F.max("part").alias("parts"))
-    r = r.join(part, ["component", "code", "p_tipo"], "left").join(several, ["component", "code"], "left")
+    r = r.join(part.hint("merge"), ["component", "code", "p_tipo"], "left").join(several.hint("merge"), ["component", "code"], "left")
     part_key = F.when(F.coalesce("parts", F.lit(0)) == 0, F.lit("0")).otherwise(F.coalesce(F.col("part").cast("string"), F.concat(F.lit("?"), F.col("node").cast("string"))))
     r = r.withColumn("part", part_key)
     return r.withColumn("site", F.min("node").over(W.partitionBy("component", "code", "part"))).select("node", "site")

@@ -19,7 +19,7 @@ def sited_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = cut(parse_places(table(spark, sf_dir, "centers"), "nombre", "localidad", "cod_postal", "provincia", "ccaa"))
     parsed = cut(mend_towns(parsed))
     sites = settle(parsed, cut(place_links(parsed, "center_id")), "center_id", "actualizado_en")
-    return parsed.join(sites, parsed["center_id"] == sites["node"], "left").withColumn("site", F.coalesce("site", "center_id")).drop("node")
+    return parsed.join(sites.hint("merge"), parsed["center_id"] == sites["node"], "left").withColumn("site", F.coalesce("site", "center_id")).drop("node")
 
 
 def display(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,21 +35,23 @@ def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = cut(rows)
     # along time within the site: nearest observed neighbour, method and distance
-    filled = fill_over_time(rows.select("center_id", "site", "actualizado_en", "prov", "region", "cp"), "site", "actualizado_en", "center_id", [], ["prov", "region", "cp"], MAX_GAP_DAYS)
+    filled = cut(fill_over_time(rows.select("center_id", "site", "actualizado_en", "prov", "region", "cp"), "site", "actualizado_en", "center_id", [], ["prov", "region", "cp"], MAX_GAP_DAYS))
     # what similar rows settle: votes of the site, of the code's prefix and of the town
     pre = rows.withColumn("pre", F.substring("cp", 1, 2))
     by_pre = consensus(pre, "pre", "prov").select("pre", F.col("prov").alias("v"))
     by_town = consensus(rows.withColumn("ciudad", empty_as_null("p_ciudad")), "ciudad", "prov").select("ciudad", F.col("prov").alias("v"))
     region_of = consensus(rows, "prov", "region").select("prov", F.col("region").alias("region_of"))
     site_votes = rows.filter("prov IS NOT NULL").groupBy("site", F.col("prov").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    pre_votes = pre.join(by_pre, "pre").groupBy("site", "v").agg((F.count(F.lit(1)) * 1.25).alias("w"))
-    town_votes = rows.withColumn("ciudad", empty_as_null("p_ciudad")).join(by_town, "ciudad").groupBy("site", "v").agg(F.lit(1.1).alias("w"))
+    pre_votes = pre.join(F.broadcast(by_pre), "pre")  # a postcode has at most 52 prefixes
+    pre_votes = pre_votes.groupBy("site", "v").agg((F.count(F.lit(1)) * 1.25).alias("w"))
+    town_votes = rows.filter("p_ciudad <> ''").select("site", F.col("p_ciudad").alias("ciudad")).distinct().join(by_town.hint("merge"), "ciudad").groupBy("site", "v").agg(F.lit(1.1).alias("w"))
     votes = site_votes.unionByName(pre_votes).unionByName(town_votes).groupBy("site", "v").agg(F.sum("w").alias("w"))
-    settled = votes.groupBy("site").agg(F.max_by("v", F.struct("w", "v")).alias("settled"))
+    settled = cut(votes.groupBy("site").agg(F.max_by("v", F.struct("w", "v")).alias("settled")))
     from_region = consensus(rows, "site", "region").select("site", F.col("region").alias("site_region"))
     # only a code can be wrong for its site, so a site without any province keeps its rows' region
-    whole = filled.join(rows.select("center_id", "p_ciudad", "p_extranjero", F.col("prov").alias("own_prov"), F.col("region").alias("own_region"), F.col("cp").alias("own_cp")), "center_id")
-    whole = whole.join(settled, "site", "left").join(region_of.select(F.col("prov").alias("settled"), "region_of"), "settled", "left").join(from_region, "site", "left")
+    whole = filled.join(rows.select("center_id", "p_ciudad", "p_extranjero", F.col("prov").alias("own_prov"), F.col("region").alias("own_region"), F.col("cp").alias("own_cp")).hint("merge"), "center_id")
+    whole = whole.join(settled.hint("merge"), "site", "left").join(region_of.select(F.col("prov").alias("settled"), "region_of"), "settled", "left").join(from_region.hint("merge"), "site", "left")
+    whole = cut(whole)
     prov_names, region_names = display(rows, "prov", "provincia"), display(rows, "region", "ccaa")
     method = lambda c, v: F.when(F.col(c) == v, F.col(f"{c}_metodo")).otherwise(F.lit("acuerdo"))
     dist = lambda c, v: F.when(F.col(c) == v, F.col(f"{c}_distancia"))
@@ -62,7 +64,7 @@ def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     # codes: more than half of the site's other rows, else all of the town's other rows; the row itself carries none, so all rows with one are others
     site_code = consensus(rows, "site", "cp").select("site", F.col("cp").alias("code"), F.col("n").alias("n"), F.col("of").alias("of"))
     town_code = rows.filter("p_ciudad <> '' AND cp IS NOT NULL").groupBy("p_ciudad").agg(F.min("cp").alias("lo"), F.max("cp").alias("hi"))
-    codes = whole.filter("own_cp IS NULL AND NOT coalesce(p_extranjero, false)").join(site_code, "site", "left").join(town_code, "p_ciudad", "left")
+    codes = whole.filter("own_cp IS NULL AND NOT coalesce(p_extranjero, false)").join(site_code.hint("merge"), "site", "left").join(town_code.hint("merge"), "p_ciudad", "left")
     value = F.when(F.col("of").isNotNull(), F.when(F.col("n") * 2 > F.col("of"), F.col("code"))).otherwise(F.when(F.col("lo") == F.col("hi"), F.col("lo")))
     codes = codes.select("center_id", F.lit("cod_postal").alias("campo"), value.alias("valor"), method("cp", value).alias("metodo"), dist("cp", value).alias("distancia")).filter("valor IS NOT NULL")
     return provs.unionByName(regions).unionByName(codes)
