@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from censo.llm import addresses, spellings
+from censo.llm import addresses, linkage, spellings, truth
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": addresses.p4_found, "p5_found": spellings.p5_found}
+    return {
+        "p1_found": truth.p1_found,
+        "p4_found": addresses.p4_found,
+        "p5_found": spellings.p5_found,
+        "p7_found": linkage.p7_found,
+        "p7_links": linkage.p7_links,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
