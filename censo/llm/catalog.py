@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from censo.llm import addresses, linkage, spellings, truth
+from censo.llm import addresses, leakage, linkage, spellings, truth
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": spellings.p5_found,
         "p7_found": linkage.p7_found,
         "p7_links": linkage.p7_links,
+        "p9_found": leakage.p9_found,
     }
 
 
