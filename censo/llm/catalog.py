@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from censo.llm import addresses, leakage, linkage, spellings, truth
+from censo.llm import addresses, languages, leakage, linkage, packing, spellings, truth
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": spellings.p5_found,
         "p7_found": linkage.p7_found,
         "p7_links": linkage.p7_links,
+        "p8_packed": packing.p8_packed,
+        "p8_certificate": packing.p8_certificate,
         "p9_found": leakage.p9_found,
+        "p10_found": languages.p10_found,
+        "p10_segments": languages.p10_segments,
     }
 
 
