@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from censo.plans import completion, landscape, nested, quality
 
+REGISTRIES = (landscape.query,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "volume_per_year": landscape.volume_per_year,
+    out = {
         "p2_found": nested.p2_found,
         "p3_found": quality.p3_found,
         "p3_profile": quality.p3_profile,
@@ -19,7 +20,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_filled": completion.p6_filled,
         "p6_series": completion.p6_series,
     }
+    for r in REGISTRIES:
+        out |= r.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for r in REGISTRIES:
+        out |= r.sql
+    return out
