@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from censo.plans import completion, identity, landscape, nested, quality, streams
+from censo.plans import completion, gold, identity, landscape, nested, quality, streams
 
-REGISTRIES = (landscape.query, identity.query, streams.query)
+REGISTRIES = (landscape.query, gold.query, identity.query, streams.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
