@@ -22,15 +22,22 @@ PLACEHOLDERS = frozenset(
 MOJIBAKE = re.compile("[ÃÂ][\u0080-¿Œ-Ÿ‘-™]")
 
 
+# The format characters (category Cf) of the Basic Multilingual Plane, and the blocks of combining marks.
+INVISIBLE = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u0890\u0891\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
+COMBINING = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+
+
 def repair(text: str | None) -> str:
     """Undo entity and double-UTF-8 damage, drop invisible characters, collapse white space; null gives ''."""
     if not text:
         return ""
     for _ in range(3):
-        new = html.unescape(text)
+        new = html.unescape(text) if "&" in text else text
         if new == text:
             break
         text = new
+    if text.isascii():
+        return " ".join(text.split())
     if MOJIBAKE.search(text):
         for codec in ("cp1252", "latin-1"):
             try:
@@ -39,14 +46,15 @@ def repair(text: str | None) -> str:
             except (UnicodeEncodeError, UnicodeDecodeError):
                 continue
     text = unicodedata.normalize("NFC", text)
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-    return " ".join(text.split())
+    return " ".join(INVISIBLE.sub("", text).split())
 
 
 def fold(text: str | None) -> str:
     """Repaired, without accents, case-folded; '?' and U+FFFD stand for an unreadable character."""
     text = repair(text).replace("�", "?")
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).casefold()
+    if text.isascii():
+        return text.lower()
+    return COMBINING.sub("", unicodedata.normalize("NFD", text)).casefold()
 
 
 def is_missing(text: str | None) -> bool:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from censo.session import cut
+from censo.session import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 40
         e = cut(_small_star(_large_star(e)))
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
+            release(edges.sparkSession)
             return nodes.join(e.hint("merge"), "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
         seen = tuple(state)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

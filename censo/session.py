@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +27,23 @@ def build_session(app: str = "censo", cpus: int | None = None, shuffle_partition
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context: their working directory and path need not hold it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_censo_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="censo-package-")) / "censo.zip"  # read by the driver only, which serves it to the executors
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("censo") / f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._censo_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the given directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +65,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle, broadcast and checkpoint files of finished steps now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def at_least_partitions(df: DataFrame, rows_per_task: int = 4000) -> DataFrame:
     """Spread ``df`` over all cores when its scan came as fewer splits than the cluster has cores.
 
