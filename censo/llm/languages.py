@@ -74,10 +74,14 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
-def grams(text: str) -> tuple[np.ndarray, int]:
-    """Hashed character n-grams of a sentence (with word ends), digits left out; and their number."""
-    t = " " + " ".join(WORDS.findall(text.casefold())) + " "
-    c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def grams(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash, part) of all character n-grams of the parts, one pair of arrays for each n, in the order of the parts.
+
+    Words only, case folded, with their ends; n-grams do not cross from one part to the next.
+    """
+    texts = [" " + " ".join(WORDS.findall(p.casefold())) + " " for p in parts]
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     out = []
     for n in ORDERS:
         if len(c) < n:
@@ -86,11 +90,9 @@ def grams(text: str) -> tuple[np.ndarray, int]:
         for k in range(n):
             h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ c[k : len(c) - n + 1 + k]
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append((h >> np.uint64(40)) % np.uint64(DIM))
-    if not out:
-        return np.empty(0, np.int64), 0
-    x = np.concatenate(out).astype(np.int64)
-    return x, len(x)
+        inside = owner[: len(h)] == owner[n - 1 :]
+        out.append((((h >> np.uint64(40)) % np.uint64(DIM)).astype(np.int64)[inside], owner[: len(h)][inside]))
+    return out
 
 
 def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -112,11 +114,10 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rng: np.rando
 
 
 def _row(text: str) -> tuple[np.ndarray, np.ndarray]:
-    x, n = grams(text)
-    idx, count = np.unique(x, return_counts=True)
-    val = np.sqrt(count).astype(np.float32)
-    norm = float(np.sqrt((val * val).sum()))
-    return idx, (val / norm if norm else val)
+    """A sentence as a sparse row: n-gram counts over the root of their sum."""
+    found = [x for x, _ in grams([text])]
+    idx, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return idx, (count / np.sqrt(max(1, count.sum()))).astype(np.float32)
 
 
 class Discriminator:
@@ -128,6 +129,7 @@ class Discriminator:
         self.family_w = np.zeros((0, DIM), np.float32)
         self.pairs: list[tuple[str, str]] = []
         self.pair_w = np.zeros((0, DIM), np.float32)
+        self._weights: np.ndarray | None = None
 
     def fit(self, texts: list[str], labels: list[str]) -> Discriminator:
         """Fit, drop the sentences the first fit contradicts, fit again. Labels outside the eight languages are ignored."""
@@ -136,12 +138,14 @@ class Discriminator:
         for again in (False, True):
             self._fit(texts, labels)
             if not again:
-                good = [i for i, t in enumerate(texts) if self.best(t) == labels[i]]
+                said = np.argmax(self.scores(texts), axis=1) if texts else []
+                good = [i for i, k in enumerate(said) if self.languages[k] == labels[i]]
                 if {labels[i] for i in good} == set(labels):
                     texts, labels = [texts[i] for i in good], [labels[i] for i in good]
         return self
 
     def _fit(self, texts: list[str], labels: list[str]) -> None:
+        self._weights = None
         rng = np.random.default_rng(SEED)
         doubled = [(t, y) for t, y in zip(texts, labels)] + [(plain(t), y) for t, y in zip(texts, labels) if plain(t) != t]
         rows, ys = [_row(t) for t, _ in doubled], [y for _, y in doubled]
@@ -158,33 +162,41 @@ class Discriminator:
                 ws.append(_svm([rows[i] for i in at], np.array([1.0 if ys[i] == a else -1.0 for i in at]), rng))
         self.pair_w = np.stack(ws) if ws else np.zeros((0, DIM), np.float32)
 
-    def scores(self, text: str) -> np.ndarray:
-        """Log probabilities of ``languages`` for one sentence."""
-        idx, val = _row(text)
-        fam = self.family_w[:, idx] @ val if len(self.families) else np.zeros(0)
-        fam = _log_softmax(SHARPNESS * fam)
-        margins = self.pair_w[:, idx] @ val if len(self.pairs) else np.zeros(0)
-        votes = {x: [] for x in self.languages}
-        for (a, b), m in zip(self.pairs, margins):
-            votes[a].append(m)
-            votes[b].append(-m)
-        out = np.zeros(len(self.languages))
-        for f, lf in zip(self.families, fam):
+    def scores(self, parts: list[str]) -> np.ndarray:
+        """Log probabilities of ``languages`` for each part (one row a part)."""
+        weights = np.vstack([self.family_w, self.pair_w]).T if self._weights is None else self._weights
+        self._weights = np.ascontiguousarray(weights)
+        sums, number = np.zeros((len(parts), self._weights.shape[1])), np.zeros(len(parts))
+        for x, owner in grams(parts):
+            if len(x):
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                sums[owner[first]] += np.add.reduceat(self._weights[x], first, axis=0)
+                number += np.bincount(owner, minlength=len(parts))
+        sums /= np.sqrt(np.maximum(number, 1.0))[:, None]
+        nf = len(self.families)
+        fam = _log_softmax(SHARPNESS * sums[:, :nf])
+        out = np.zeros((len(parts), len(self.languages)))
+        for k, f in enumerate(self.families):
             members = [i for i, x in enumerate(self.languages) if FAMILY_OF[x] == f]
-            # the weakest of a language's comparisons decides, so a related third language cannot outvote it
-            inner = np.array([min(votes[self.languages[i]], default=0.0) for i in members])
-            out[members] = lf + _log_softmax(SHARPNESS * inner)
+            inner = np.zeros((len(parts), len(members)))
+            for m, i in enumerate(members):
+                x = self.languages[i]
+                own = [sums[:, nf + j] * (1.0 if a == x else -1.0) for j, (a, b) in enumerate(self.pairs) if x in (a, b)]
+                # the weakest of a language's comparisons decides, so a related third language cannot outvote it
+                inner[:, m] = np.min(own, axis=0) if own else 0.0
+            out[:, members] = fam[:, [k]] + _log_softmax(SHARPNESS * inner)
         return out
 
     def best(self, text: str) -> str | None:
-        return self.languages[int(np.argmax(self.scores(text)))] if self.languages else None
+        return self.languages[int(np.argmax(self.scores([text])[0]))] if self.languages else None
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    if not len(x):
+    """Of the last axis."""
+    if not x.size:
         return x
-    m = x.max()
-    return x - m - np.log(np.exp(x - m).sum())
+    m = x.max(axis=-1, keepdims=True)
+    return x - m - np.log(np.exp(x - m).sum(axis=-1, keepdims=True))
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> list[int]:
@@ -211,7 +223,7 @@ def segments(model: Discriminator, text: str | None) -> list[tuple[str, float, i
     parts = sentences(text)
     if sum(len(WORDS.findall(p)) for p in parts) < LEAST_WORDS or not model.languages:
         return []
-    scores = np.stack([model.scores(p) * min(1.0, len(p) / 60.0) for p in parts])
+    scores = model.scores(parts) * np.array([min(1.0, len(p) / 60.0) for p in parts])[:, None]
     path = viterbi(scores)
     runs: list[list[int]] = []
     for i, x in enumerate(path):
