@@ -88,9 +88,9 @@ def profile_by_load(counts: DataFrame, loads: DataFrame) -> DataFrame:
         .select("l.*", *(F.coalesce(F.col(f"p.{c}"), F.lit(0)).alias(c) for c in ("presentes", "distintos", "fuera_de_forma", "fuera_de_rango", "sanos")), "p.minimo", "p.maximo", *(F.coalesce(F.col(f"p.{c}"), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("suma1", "suma2")))
         .withColumn("faltan", F.col("filas") - F.col("presentes"))
     )
-    whole = W.partitionBy("tabla", "campo")
-    for c in ("filas", "faltan", "sanos", "suma1", "suma2"):
-        full = full.withColumn(f"{c}_t", F.sum(c).over(whole))
+    # one row per profiled column: as few as the schema has
+    totals = full.groupBy("tabla", "campo").agg(*(F.sum(c).alias(f"{c}_t") for c in ("filas", "faltan", "sanos", "suma1", "suma2")))
+    full = full.join(F.broadcast(totals), ["tabla", "campo"])
     d = lambda c: F.col(c).cast("double")
     n1, n0 = d("sanos"), d("sanos_t") - d("sanos")
     m1, m0 = F.try_divide(d("suma1"), n1), F.try_divide(d("suma1_t") - d("suma1"), n0)

@@ -98,4 +98,6 @@ def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame
     r = r.join(part.hint("merge"), ["component", "code", "p_tipo"], "left").join(several.hint("merge"), ["component", "code"], "left")
     part_key = F.when(F.coalesce("parts", F.lit(0)) == 0, F.lit("0")).otherwise(F.coalesce(F.col("part").cast("string"), F.concat(F.lit("?"), F.col("node").cast("string"))))
     r = r.withColumn("part", part_key)
-    return r.withColumn("site", F.min("node").over(W.partitionBy("component", "code", "part"))).select("node", "site")
+    # aggregated and joined back, so that a component with a large share of all rows is no single task
+    least = r.groupBy("component", "code", "part").agg(F.min("node").alias("site"))
+    return r.join(least.hint("merge"), ["component", "code", "part"]).select("node", "site")

@@ -71,11 +71,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def at_least_partitions(df: DataFrame, rows_per_task: int = 4000) -> DataFrame:
-    """Spread ``df`` over all cores when its scan came as fewer splits than the cluster has cores.
+def at_least_partitions(df: DataFrame) -> DataFrame:
+    """``df`` itself where its scan already has a few splits for every core, else spread over all cores.
 
-    Used before CPU-heavy Python stages only: a round-robin exchange of the input is cheap beside them.
+    For CPU-heavy Python stages over small files only: a large input comes in splits enough and is never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(cores * 2, parts))
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(3 * cores)
