@@ -167,14 +167,15 @@ def surviving(rows: DataFrame) -> DataFrame:
     votes = count(claims.filter("campo <> 'prefijo'").select("grupo", "campo", "clave", "fuente", "cuando").unionByName(extra))
     truths, _ = discover(votes, F.col("campo") == "tipo")
     truths = cut(truths)
-    # regions: the most proper spelling of the true key within the group
-    region = claims.filter(F.col("campo").isin("provincia", "ccaa")).join(truths.select("grupo", "campo", F.col("clave").alias("v"), "apoyo"), ["grupo", "campo"])
-    n_texts = W.partitionBy("grupo", "campo", "texto")
-    region = region.withColumn("n", F.count(F.lit(1)).over(n_texts)).groupBy("grupo", "campo").agg(F.max_by("texto", F.struct((F.col("clave") == F.col("v")).alias("ok"), "limpio", "n", "texto")).alias("valor"))
+    # regions: the most proper spelling of the true key within the group; spellings are counted before anything is gathered by group
+    spelled = claims.filter(F.col("campo").isin("provincia", "ccaa")).groupBy("grupo", "campo", "clave", "texto", "limpio").agg(F.count(F.lit(1)).alias("n"))
+    region = spelled.join(truths.select("grupo", "campo", F.col("clave").alias("v")), ["grupo", "campo"]).groupBy("grupo", "campo").agg(F.max_by("texto", F.struct((F.col("clave") == F.col("v")).alias("ok"), "limpio", "n", "texto")).alias("valor"))
     kind = truths.filter("campo = 'tipo'").select("grupo", F.col("clave").alias("tipo"))
     core = truths.filter("campo = 'nucleo'").select("grupo", F.col("clave").alias("nucleo"))
-    names = claims.filter("campo = 'nucleo'").select("grupo", "fila", F.col("clave").alias("k"), "texto", "limpio", "cuando").join(claims.filter("campo = 'tipo'").select("grupo", "fila", F.col("clave").alias("t")), ["grupo", "fila"], "left")
-    names = names.join(core, "grupo").join(kind, "grupo", "left").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("grupo", "texto")))
+    cores = claims.filter("campo = 'nucleo'").select("grupo", "fila", F.col("clave").alias("k"), "texto", "limpio", "cuando")
+    kinds = claims.filter("campo = 'tipo'").select("grupo", "fila", F.col("clave").alias("t"))
+    names = cores.join(kinds, ["grupo", "fila"], "left").groupBy("grupo", "k", "t", "texto", "limpio").agg(F.count(F.lit(1)).alias("n"), F.max("cuando").alias("cuando"))
+    names = names.join(core, "grupo").join(kind, "grupo", "left")
     same_kind = F.coalesce(F.col("t") == F.col("tipo"), F.lit(False))
     slip = F.levenshtein("k", "nucleo")
     rank = F.struct(same_kind.alias("a"), (F.when(slip == 0, 2).when(slip <= 2, 1).otherwise(0)).alias("b"), "limpio", "n", "cuando", "texto")
