@@ -20,11 +20,26 @@ def name_text() -> Column:
     return F.array_join("p_nucleo", "")
 
 
+#: From this length on, a text is keyed by its two ends instead of its deletions, whose total length grows with the square.
+LONG = 60
+
+
 def deletions(text: Column) -> Column:
-    """``text`` and every form of it with one character left out, distinct; short texts only themselves."""
+    """Keys that texts one edit apart share: the text and its forms with one character left out; short texts only themselves.
+
+    A text longer than LONG has its first and its last LONG / 2 characters as keys: one edit leaves one of them intact, but they do not prove
+    that two texts are alike, so links of long texts are verified.
+    """
     n = F.length(text)
+    half = LONG // 2
+    ends = F.array(F.concat(F.substring(text, 1, half), F.lit("|")), F.concat(F.lit("|"), F.substring(text, -half, half)))
     cuts = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)))
-    return F.array_distinct(F.concat(F.array(text), F.when(n >= 6, cuts).otherwise(F.array().cast("array<string>"))))
+    return F.when(n > LONG, ends).when(n >= 6, F.array_distinct(F.concat(F.array(text), cuts))).otherwise(F.array(text))
+
+
+def long_alike(a: Column, b: Column) -> Column:
+    """False for two long texts more than two edits apart, true otherwise."""
+    return ((F.length(a) <= LONG) & (F.length(b) <= LONG)) | (F.levenshtein(a, b, 2) >= 0)
 
 
 def mend_towns(rows: DataFrame, least_ratio: int = 2) -> DataFrame:
@@ -36,7 +51,7 @@ def mend_towns(rows: DataFrame, least_ratio: int = 2) -> DataFrame:
     towns = rows.filter("p_ciudad <> ''").groupBy("p_ciudad").agg(F.count(F.lit(1)).alias("n"))
     keyed = towns.select("p_ciudad", "n", F.explode(deletions(F.col("p_ciudad"))).alias("d"))
     best = keyed.groupBy("d").agg(F.max(F.struct("n", "p_ciudad")).alias("best"))
-    mended = keyed.join(best.hint("merge"), "d").filter((F.col("best.p_ciudad") != F.col("p_ciudad")) & (F.col("best.n") >= F.col("n") * least_ratio)).groupBy("p_ciudad").agg(F.max("best").alias("to")).select("p_ciudad", F.col("to.p_ciudad").alias("_to"))
+    mended = keyed.join(best.hint("merge"), "d").filter((F.col("best.p_ciudad") != F.col("p_ciudad")) & long_alike(F.col("best.p_ciudad"), F.col("p_ciudad")) & (F.col("best.n") >= F.col("n") * least_ratio)).groupBy("p_ciudad").agg(F.max("best").alias("to")).select("p_ciudad", F.col("to.p_ciudad").alias("_to"))
     return rows.join(mended.hint("merge"), "p_ciudad", "left").withColumn("p_ciudad", F.coalesce("_to", "p_ciudad")).select(*rows.columns)
 
 
@@ -67,8 +82,9 @@ def place_links(rows: DataFrame, node: str) -> DataFrame:
     code = F.explode(F.when(F.col("p_cp").isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col("p_cp"))))
     full = keyed.withColumn("_c", code).select(node, F.xxhash64("_d", "_f", "_p", "_c").alias("k"))
     links = star_links(full, "k", node)
-    a, b = rows.select(F.col(node).alias("a"), F.col("p_cp").alias("ca")), rows.select(F.col(node).alias("b"), F.col("p_cp").alias("cb"))
-    return links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(compatible_code(F.col("ca"), F.col("cb"))).select("a", "b")
+    side = lambda x: rows.select(F.col(node).alias(x), F.col("p_cp").alias(f"c{x}"), name_text().alias(f"t{x}"))
+    a, b = side("a"), side("b")
+    return links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(compatible_code(F.col("ca"), F.col("cb")) & long_alike(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
 def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame:

@@ -16,7 +16,7 @@ MAX_GAP_DAYS = 366.0 * 20
 
 def sited_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed centre rows with their ``site``; a row linked to no other is a site of its own."""
-    parsed = cut(parse_places(table(spark, sf_dir, "centers"), "nombre", "localidad", "cod_postal", "provincia", "ccaa"))
+    parsed = cut(parse_places(table(spark, sf_dir, "centers").select("center_id", "nombre", "localidad", "cod_postal", "provincia", "ccaa", "actualizado_en"), "nombre", "localidad", "cod_postal", "provincia", "ccaa"))
     parsed = cut(mend_towns(parsed))
     sites = settle(parsed, cut(place_links(parsed, "center_id")), "center_id", "actualizado_en")
     return parsed.join(sites.hint("merge"), parsed["center_id"] == sites["node"], "left").withColumn("site", F.coalesce("site", "center_id")).drop("node")
@@ -77,7 +77,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """studies.poblacion_total and enfermedad_rara filled along time within each sponsor, at most 400 days from an observed row."""
-    s = table(spark, sf_dir, "studies")
+    s = table(spark, sf_dir, "studies").select("identificador", "sponsor_id", "poblacion_total", "enfermedad_rara", "cargado_en", "carga")
     one = s.groupBy("identificador").agg(F.max_by(F.struct("sponsor_id", "poblacion_total", "enfermedad_rara", "cargado_en"), F.struct("cargado_en", "carga")).alias("r")).select("identificador", "r.*")
     real = F.when(~F.col("poblacion_total").isin(0, 999999), F.col("poblacion_total"))
     return fill_over_time(one.withColumn("poblacion_total", real), "sponsor_id", "cargado_en", "identificador", ["poblacion_total"], ["enfermedad_rara"], 400.0)

@@ -43,7 +43,7 @@ def kind_of(field: str) -> str:
 
 def registry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile of the dates of calendario, the flags and total of poblacion, and studies.fecha_autorizacion_aemps, by load."""
-    detalle, studies = table(spark, sf_dir, "detalle"), table(spark, sf_dir, "studies")
+    detalle, studies = table(spark, sf_dir, "detalle").select("carga", "registro"), table(spark, sf_dir, "studies").select("carga", "fecha_autorizacion_aemps")
     fields = [*DATES, *POPULATION, "total"]
     kinds = F.create_map(*(F.lit(x) for f in fields for x in (f, kind_of(f))))
     flat = leaves(detalle, ["carga"], ("calendario", "poblacion"), mark_valid=True)
