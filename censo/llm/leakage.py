@@ -93,10 +93,11 @@ class Index:
         self.passages = passages
         prints, owner, offset = [], [], []
         for i, p in passages.items():
-            f = fingerprints(p, self.weights)
+            # a passage that repeats itself is entered once for each different window: the stretches grow from there
+            f, first = np.unique(fingerprints(p, self.weights), return_index=True)
             prints.append(f)
             owner.append(np.full(len(f), i, np.int64))
-            offset.append(np.arange(len(f), dtype=np.int32))
+            offset.append(first.astype(np.int32))
         self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
         self.owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
         self.offset = np.concatenate(offset) if offset else np.empty(0, np.int32)
@@ -112,7 +113,8 @@ class Index:
         return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window of the document, window of the items) of all pairs within the radius."""
+        """(window of the document, window of the items) of all pairs within the radius; of equal windows of the document, the first."""
+        prints, first = np.unique(prints, return_index=True)
         docs, found = [], []
         for b in range(BLOCKS):
             v = self._block(prints, b)
@@ -128,7 +130,7 @@ class Index:
             found.append(x[near])
         if not docs:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(docs), np.concatenate(found)
+        return first[np.concatenate(docs)], np.concatenate(found)
 
 
 def like(a: str, b: str) -> bool:
@@ -189,14 +191,16 @@ def covered(p: list[str], d: list[str], seeds: list[tuple[int, int]], weights: d
         b, y = grow(p, d, i, j, 1)
         if b - a + 1 >= LEAST_STRETCH and shingle_share(p[a : b + 1], d[x : y + 1], weights) >= LEAST_SIMILAR:
             stretches.append((a, b, x, y))
-    best = 0
-    for n, (a, b, x, y) in enumerate(stretches):
-        best = max(best, b - a + 1)
-        for c, e, u, v in stretches[n + 1 :]:
-            (a1, b1, x1, y1), (a2, b2, x2, y2) = sorted(((a, b, x, y), (c, e, u, v)))
-            if x2 > y1:
-                best = max(best, (b1 - a1 + 1) + max(0, b2 - max(a2, b1 + 1) + 1))
-    return best / len(p) if p else 0.0
+    if not stretches or not p:
+        return 0.0
+    A, B, X, Y = np.array(stretches).T
+    best = int((B - A + 1).max())
+    for a, b, x, y in stretches:
+        # the other stretch comes before this one, in the passage and in the document
+        before = (Y < x) & (A <= a)
+        if before.any():
+            best = max(best, int(((B - A + 1)[before] + np.maximum(0, b - np.maximum(a, B[before] + 1) + 1)).max()))
+    return best / len(p)
 
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cubre", T.DoubleType())])

@@ -116,6 +116,8 @@ ITEM = "container_id int, max_tokens int, doc_id long, pieza int, inicio long, t
 
 def pieces(counted: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """Items for every container kind: a text that fits whole, else pieces of full capacity and the rest. Texts without tokens are one item."""
+    if not capacities:
+        return counted.sparkSession.createDataFrame([], ITEM)
     kinds = F.array(*(F.struct(F.lit(i).cast("int").alias("container_id"), F.lit(c).cast("int").alias("max_tokens")) for i, c in capacities))
     wide = counted.select("doc_id", "tokens", F.explode(kinds).alias("k")).select("doc_id", "tokens", "k.*")
     n = F.greatest(F.ceil(F.col("tokens") / F.col("max_tokens")).cast("int"), F.lit(1))

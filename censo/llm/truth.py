@@ -187,7 +187,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving nombre, provincia and ccaa of every reviewed group of two or more rows."""
     groups = table(spark, sf_dir, "center_groups").filter("group_id IS NOT NULL").groupBy("group_id", "center_id").agg(F.count(F.lit(1)).alias("_n"))
     several = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("filas")).filter("filas > 1").select("group_id")
-    centers = table(spark, sf_dir, "centers")
+    centers = table(spark, sf_dir, "centers").select("center_id", "fuente", "actualizado_en", "nombre", "localidad", "cod_postal", "provincia", "ccaa")
     rows = groups.join(several, "group_id").join(centers, "center_id").select(
         F.col("group_id").alias("grupo"), F.col("center_id").alias("fila"), "fuente", F.col("actualizado_en").alias("cuando"), "nombre", "localidad", "cod_postal", "provincia", "ccaa"
     )

@@ -87,6 +87,9 @@ def test_index_finds_all_within_radius():
         probe ^= np.uint64(1) << flips[:, k].astype(np.uint64)
     at, found = index.search(probe)
     pairs = set(zip(at.tolist(), found.tolist()))
+    probe = np.unique(probe)
+    at, found = index.search(probe)
+    pairs = set(zip(at.tolist(), found.tolist()))
     near = np.bitwise_count(probe[:, None] ^ index.prints[None, :]) <= K.RADIUS
     assert pairs == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
 
