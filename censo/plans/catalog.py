@@ -26,7 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out: dict[str, str] = {"p6_series": completion.P6_SERIES_SQL}
     for r in REGISTRIES:
         out |= r.sql
     return out

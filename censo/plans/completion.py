@@ -76,8 +76,34 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """studies.poblacion_total and enfermedad_rara filled along time within each sponsor, at most 400 days from an observed row."""
+    """studies.poblacion_total and enfermedad_rara filled along time within each sponsor, at most 400 days from an observed row.
+
+    Of a study sent twice the newest row counts (then the larger values, so that the choice is one of the rows whatever their order).
+    """
     s = table(spark, sf_dir, "studies").select("identificador", "sponsor_id", "poblacion_total", "enfermedad_rara", "cargado_en", "carga")
-    one = s.groupBy("identificador").agg(F.max_by(F.struct("sponsor_id", "poblacion_total", "enfermedad_rara", "cargado_en"), F.struct("cargado_en", "carga")).alias("r")).select("identificador", "r.*")
+    newest = F.max(F.struct("cargado_en", "carga", "sponsor_id", "poblacion_total", "enfermedad_rara"))
+    one = s.groupBy("identificador").agg(newest.alias("r")).select("identificador", "r.sponsor_id", "r.poblacion_total", "r.enfermedad_rara", "r.cargado_en")
     real = F.when(~F.col("poblacion_total").isin(0, 999999), F.col("poblacion_total"))
-    return fill_over_time(one.withColumn("poblacion_total", real), "sponsor_id", "cargado_en", "identificador", ["poblacion_total"], ["enfermedad_rara"], 400.0)
+    filled = fill_over_time(one.withColumn("poblacion_total", real), "sponsor_id", "cargado_en", "identificador", ["poblacion_total"], ["enfermedad_rara"], 400.0)
+    return filled.select(
+        "identificador", "sponsor_id", "enfermedad_rara", "enfermedad_rara_metodo", F.round("enfermedad_rara_distancia", 4).alias("enfermedad_rara_distancia"),
+        F.round("poblacion_total", 4).alias("poblacion_total"), "poblacion_total_metodo", F.round("poblacion_total_distancia", 4).alias("poblacion_total_distancia"),
+    )
+
+
+P6_SERIES_SQL = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY identificador ORDER BY cargado_en DESC NULLS LAST, carga DESC NULLS LAST, sponsor_id DESC NULLS LAST, poblacion_total DESC NULLS LAST, enfermedad_rara DESC NULLS LAST) AS r FROM studies),
+o AS (SELECT identificador, sponsor_id, epoch_us(cargado_en) / 1e6 AS t, CASE WHEN poblacion_total NOT IN (0, 999999) THEN poblacion_total END AS p, enfermedad_rara AS e FROM r WHERE r = 1),
+w AS (SELECT *,
+  last_value(CASE WHEN p IS NOT NULL AND t IS NOT NULL THEN {'v': p, 't': t} END IGNORE NULLS) OVER b AS pp, first_value(CASE WHEN p IS NOT NULL AND t IS NOT NULL THEN {'v': p, 't': t} END IGNORE NULLS) OVER f AS pn,
+  last_value(CASE WHEN e IS NOT NULL AND t IS NOT NULL THEN {'v': e, 't': t} END IGNORE NULLS) OVER b AS ep, first_value(CASE WHEN e IS NOT NULL AND t IS NOT NULL THEN {'v': e, 't': t} END IGNORE NULLS) OVER f AS en
+  FROM o WINDOW b AS (PARTITION BY sponsor_id ORDER BY t NULLS LAST, identificador ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY sponsor_id ORDER BY t NULLS LAST, identificador ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+k AS (SELECT *, CASE WHEN sponsor_id IS NOT NULL AND (t - pp.t) / 86400 <= 400 THEN (t - pp.t) / 86400 END AS dpp, CASE WHEN sponsor_id IS NOT NULL AND (pn.t - t) / 86400 <= 400 THEN (pn.t - t) / 86400 END AS dpn,
+  CASE WHEN sponsor_id IS NOT NULL AND (t - ep.t) / 86400 <= 400 THEN (t - ep.t) / 86400 END AS dep, CASE WHEN sponsor_id IS NOT NULL AND (en.t - t) / 86400 <= 400 THEN (en.t - t) / 86400 END AS den FROM w)
+SELECT identificador, sponsor_id,
+  CASE WHEN e IS NOT NULL THEN e WHEN dep IS NOT NULL AND (den IS NULL OR dep <= den) THEN ep.v WHEN den IS NOT NULL THEN en.v END AS enfermedad_rara,
+  CASE WHEN e IS NOT NULL THEN 'observado' WHEN dep IS NOT NULL AND (den IS NULL OR dep <= den) THEN 'arrastre' WHEN den IS NOT NULL THEN 'retroceso' END AS enfermedad_rara_metodo,
+  round(CASE WHEN e IS NOT NULL THEN 0.0 ELSE least(dep, den) END, 4) AS enfermedad_rara_distancia,
+  round(CASE WHEN p IS NOT NULL THEN p WHEN dpp IS NOT NULL AND dpn IS NOT NULL THEN pp.v + (pn.v - pp.v) * coalesce((t - pp.t) / nullif(pn.t - pp.t, 0), 0.5) WHEN dpp IS NOT NULL THEN pp.v WHEN dpn IS NOT NULL THEN pn.v END, 4) AS poblacion_total,
+  CASE WHEN p IS NOT NULL THEN 'observado' WHEN dpp IS NOT NULL AND dpn IS NOT NULL THEN 'interpolado' WHEN dpp IS NOT NULL OR dpn IS NOT NULL THEN 'extremo' END AS poblacion_total_metodo,
+  round(CASE WHEN p IS NOT NULL THEN 0.0 ELSE least(dpp, dpn) END, 4) AS poblacion_total_distancia FROM k"""

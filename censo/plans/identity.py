@@ -75,12 +75,40 @@ def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("p_partkey", "code", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"), "verdict")
 
 
-@query()
+_SYN = ", ".join(f"'{k}': '{v}'" for k, v in X.SYNONYMS.items())
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+def _words_sql(column: str) -> str:
+    plain = f"regexp_replace(lower(strip_accents(coalesce({column}, ''))), '[^a-z0-9 ]', ' ', 'g')"
+    mapped = f"list_transform(list_filter(string_split({plain}, ' '), lambda w: w <> ''), lambda w: coalesce(MAP {{{_SYN}}}[w], w))"
+    return f"list_distinct(list_filter({mapped}, lambda w: w NOT IN ({_STOP})))"
+
+
+def _town_sql(column: str) -> str:
+    head = f"trim(split_part(split_part(split_part(coalesce({column}, ''), ',', 1), '/', 1), '(', 1))"
+    plain = f"trim(regexp_replace(lower(strip_accents({head})), '\\s+', ' ', 'g'), ' .,;:-''´`')"
+    return f"trim(regexp_replace({plain}, '^(?:(?:a|o|la|el|lo|las|los|les|els)(?:\\s+|$)|l'')', ''))"
+
+
+def _code_sql(column: str) -> str:
+    bare = f"replace(replace(trim({column}), '.', ''), ',', '')"
+    return f"CASE WHEN regexp_full_match({bare}, '[0-9]{{4,5}}') THEN lpad({bare}, 5, '0') END"
+
+
+@query(f"""
+WITH rws AS (SELECT center_id, {_code_sql('cod_postal')} AS cp, {_town_sql('localidad')} AS ciudad, {_words_sql('nombre')} AS w FROM centers),
+cat AS (SELECT codcnh, {_code_sql('cod_postal')} AS cp, {_town_sql('municipio')} AS ciudad, {_words_sql('nombre')} AS v FROM hospitals),
+x AS (SELECT center_id, codcnh FROM rws JOIN cat USING (cp) UNION SELECT center_id, codcnh FROM rws JOIN cat ON rws.ciudad = cat.ciudad AND rws.ciudad <> ''),
+s AS (SELECT x.center_id, x.codcnh, CASE WHEN len(list_distinct(list_concat(w, v))) > 0 THEN len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) ELSE 0.0 END AS score FROM x JOIN rws USING (center_id) JOIN cat USING (codcnh)),
+r AS (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, codcnh) AS r FROM s),
+b AS (SELECT center_id, max(CASE WHEN r = 1 THEN codcnh END) AS codcnh, max(CASE WHEN r = 1 THEN score END) AS score, max(CASE WHEN r = 2 THEN score END) AS second FROM r WHERE r <= 2 GROUP BY 1)
+SELECT rws.center_id, codcnh, round(score, 6) AS score, round(second, 6) AS second, CASE WHEN score IS NULL OR score < 0.25 THEN 'sin candidato' WHEN score < 0.5 THEN 'cerca' WHEN coalesce(score - second < 0.10, false) THEN 'ambiguo' ELSE 'casado' END AS verdict FROM rws LEFT JOIN b USING (center_id)""")
 def hospital_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centre rows against the catalogue: blocks by postcode, town and province, synonyms united, verdicts with reasons."""
+    """Centre rows against the catalogue: blocks by postcode and town, synonyms united, a verdict for every row."""
     c = table(spark, sf_dir, "centers").select("center_id", X.normalise_postcode(F.col("cod_postal")).alias("cp"), X.normalise_town(F.coalesce("localidad", F.lit(""))).alias("ciudad"), X.tokens(F.coalesce("nombre", F.lit(""))).alias("w"))
     h = table(spark, sf_dir, "hospitals").select("codcnh", X.normalise_postcode(F.col("cod_postal")).alias("cp"), X.normalise_town(F.coalesce("municipio", F.lit(""))).alias("ciudad"), X.tokens(F.coalesce("nombre", F.lit(""))).alias("v"))
-    return blocked_match(cut(c), "center_id", "w", cut(h), "codcnh", "v", ["cp", "ciudad"]).withColumn("score", F.round("score", 6)).withColumn("second", F.round("second", 6))
+    return blocked_match(cut(c), "center_id", "w", cut(h), "codcnh", "v", ["cp", "ciudad"]).drop("why").withColumn("score", F.round("score", 6)).withColumn("second", F.round("second", 6))
 
 
 @query("""
@@ -284,7 +312,9 @@ def row_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.row_gate(t, {"studies": t["studies"].count(), "region": 5, "nation": 25}).select("tabla", "filas", "bien")
 
 
-@query()
+@query("""
+WITH c AS (SELECT provincia, count(*) AS n FROM centers WHERE provincia IS NOT NULL GROUP BY 1), k AS (SELECT *, trim(regexp_replace(lower(strip_accents(provincia)), '\\s+', ' ', 'g'), ' .,;:-''´`') AS norma FROM c)
+SELECT norma, CAST(sum(n) AS BIGINT) AS n, string_agg(provincia, '; ' ORDER BY provincia) AS valores FROM k GROUP BY 1 HAVING count(*) > 1""")
 def collapsing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a field that are one after folding, by total frequency."""
     c = table(spark, sf_dir, "centers").filter("provincia IS NOT NULL").groupBy("provincia").agg(F.count(F.lit(1)).alias("n"))
