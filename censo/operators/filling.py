@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from censo.session import cut
+
 DAY = 86400.0
 
 
@@ -50,7 +52,9 @@ def fill_over_time(df: DataFrame, entity: str, time: str, order: str, numeric: l
     from each other. Empty input gives an empty result; numeric results are doubles.
     """
     out = df
-    for c in [*numeric, *categories]:
+    for at, c in enumerate([*numeric, *categories]):
+        if at:
+            out = cut(out)  # small plans: the windows of several columns in one plan are planned again at each of its many stages
         alone = F.col(entity).isNull()
         out = neighbours(out, entity, time, order, c)
         p, n, t = F.when(~alone, F.col(f"prev_{c}")), F.when(~alone, F.col(f"next_{c}")), F.col("_t")

@@ -93,7 +93,7 @@ def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame
     ``rows`` carries the parsed columns; ``when`` is the time a row was last confirmed. Rows that stay ambiguous after a component was parted
     (no postcode in a component of several, no kind among several) stand alone. Null times count as no evidence of use.
     """
-    comp = connected_components(links, "a", "b")
+    comp = cut(connected_components(links, "a", "b"))
     r = rows.select(F.col(node).alias("node"), "p_cp", "p_tipo", F.col(when).alias("_w")).join(comp.hint("merge"), "node")
     # codes of a component: a rarer one within one slip of a more frequent one counts as that one
     codes = r.filter(F.col("p_cp").isNotNull()).groupBy("component", "p_cp").agg(F.count(F.lit(1)).alias("n"))
@@ -103,6 +103,7 @@ def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame
     n_codes = code.groupBy("component").agg(F.countDistinct("code").alias("n_codes"), F.min("code").alias("only"))
     r = r.join(code.hint("merge"), ["component", "p_cp"], "left").join(n_codes.hint("merge"), "component", "left")
     r = r.withColumn("code", F.when(F.coalesce("n_codes", F.lit(0)) <= 1, F.coalesce("only", F.lit(""))).otherwise(F.coalesce("code", F.concat(F.lit("?"), F.col("node").cast("string"))))).drop("n_codes", "only")
+    r = cut(r)  # small plans: the driver keeps every plan and re-plans it at each stage
     # kinds of a part: those in use at the same time are different centres
     kinds = r.filter(F.col("p_tipo") != "").groupBy("component", "code", "p_tipo").agg(F.min("_w").alias("lo"), F.max("_w").alias("hi"), F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("component", "code").orderBy("lo", "hi", "p_tipo")
@@ -113,7 +114,7 @@ def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame
     several = kinds.groupBy("component", "code").agg(F.max("part").alias("parts"))
     r = r.join(part.hint("merge"), ["component", "code", "p_tipo"], "left").join(several.hint("merge"), ["component", "code"], "left")
     part_key = F.when(F.coalesce("parts", F.lit(0)) == 0, F.lit("0")).otherwise(F.coalesce(F.col("part").cast("string"), F.concat(F.lit("?"), F.col("node").cast("string"))))
-    r = r.withColumn("part", part_key)
+    r = cut(r.withColumn("part", part_key).select("node", "component", "code", "part"))
     # aggregated and joined back, so that a component with a large share of all rows is no single task
     least = r.groupBy("component", "code", "part").agg(F.min("node").alias("site"))
     return r.join(least.hint("merge"), ["component", "code", "part"]).select("node", "site")
