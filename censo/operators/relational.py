@@ -125,9 +125,15 @@ def rule_tally(df: DataFrame, audits: dict[tuple[str, str], Column]) -> DataFram
     return df.select(F.explode(hits).alias("x")).groupBy("x.campo", "x.regla").agg(F.count(F.lit(1)).alias("n"))
 
 
-def upper_median(column: Column) -> Column:
-    """sorted[n // 2] of the non-null values, as an aggregate; null for none."""
-    return F.try_element_at(F.array_sort(F.collect_list(column)), (F.floor(F.count(column) / 2) + 1).cast("int"))
+def upper_median(counts: DataFrame, key: str, value: str, n: str, name: str = "mediana") -> DataFrame:
+    """(key, name): sorted[n // 2] of each key's values, from counts by (key, value); keys without values have no row.
+
+    Works on counts, so no group's rows are gathered in one place.
+    """
+    w = W.partitionBy(key).orderBy(value)
+    run = counts.filter(F.col(value).isNotNull()).withColumn("_hi", F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_of", F.sum(n).over(W.partitionBy(key)))
+    at = F.floor(F.col("_of") / 2)
+    return run.filter((F.col("_hi") > at) & (F.col("_hi") - F.col(n) <= at)).select(key, F.col(value).alias(name))
 
 
 def row_gate(tables: dict[str, DataFrame], expected: dict[str, int]) -> DataFrame:

@@ -220,12 +220,7 @@ def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.try_parse_json("props")
     e = table(spark, sf_dir, "events").select("event_type", F.try_variant_get(v, "$.k", "bigint").alias("k"))
     counts = e.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("m"))
-    # the upper median from counts by value, so no group's rows are gathered in one place
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("event_type").orderBy("k")
-    run = counts.filter("k IS NOT NULL").withColumn("hi", F.sum("m").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("of", F.sum("m").over(W.partitionBy("event_type")))
-    med = run.filter((F.col("hi") > F.floor(F.col("of") / 2)) & (F.col("hi") - F.col("m") <= F.floor(F.col("of") / 2))).select("event_type", F.col("k").alias("mediana"))
+    med = R.upper_median(counts, "event_type", "k", "m")
     base = counts.groupBy("event_type").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("k").isNull(), F.col("m")).otherwise(0)).alias("faltan"), F.count("k").alias("distintos"), F.min("k").alias("minimo"), F.max("k").alias("maximo"))
     return base.join(med, "event_type", "left")
 

@@ -25,6 +25,11 @@ def test_ranked_fold(spark):
     assert got == [(1, "Cancer", 40, True), (2, "Nervous", 30, True), (3, "No consta", 13, False), (4, "Otras (2)", 8, False)]
 
 
+def test_upper_median(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("a", 4, 1), ("b", 5, 3), ("b", 1, 2), ("c", None, 4)], "k string, v int, n long")
+    assert {tuple(r) for r in R.upper_median(df, "k", "v", "n").collect()} == {("a", 3), ("b", 5)}
+
+
 def test_mode_and_first_seen(spark):
     df = spark.createDataFrame([("k", "ABC"), ("k", "ABC"), ("k", "Abc"), ("k", "abd"), ("j", None)], "k string, v string")
     assert [tuple(r) for r in R.mode_by(df, "k", "v").collect()] == [("k", "ABC")]
