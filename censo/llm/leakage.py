@@ -73,14 +73,14 @@ def fingerprints(words: list[str], weights: dict[str, float], width: int = WINDO
     if not words:
         return np.empty(0, np.uint64)
     h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-    w = np.array([weights.get(x, 2.0) for x in words], np.float32)
-    total = np.zeros((len(words) + 1, 64), np.float64)
-    np.cumsum((bits * 2 - 1) * w[:, None], axis=0, out=total[1:])
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    # whole-number weights: sums are exact, so equal windows have equal fingerprints wherever they stand
+    w = np.array([round(weights.get(x, 2.0) * 16) for x in words], np.int32)[:, None]
+    total = np.zeros((len(words) + 1, 64), np.int32)
+    np.cumsum(np.where(bits, w, -w), axis=0, out=total[1:])
     n = max(len(words) - width + 1, 1)
     width = min(width, len(words))
-    sums = total[width : width + n] - total[:n]
-    return np.packbits(sums > 1e-6, axis=1).view(np.uint64).reshape(-1)
+    return np.packbits(total[width : width + n] > total[:n], axis=1).view(np.uint64).reshape(-1)
 
 
 class Index:
