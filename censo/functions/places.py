@@ -125,6 +125,7 @@ STOP = frozenset("de del la las el los y i d da do das dos e a o al".split())
 
 TOWN_WORDS = frozenset("monte vega suso sierra mar".split())
 LONG_VOCABULARY = sorted({w for w in (*KIND, *DEDICATION, *STREET, *DEPARTMENT) if len(w) >= 5})
+READABLE = sorted({w for w in (*KIND, *DEDICATION, *STREET, *DEPARTMENT, *STREET_REST) if len(w) >= 4 and w.isalpha()} | {"rio", "num"})
 LONG_ABBREVIATIONS = [w for m in (KIND, DEDICATION, STREET) for w in sorted(m) if w in ABBREVIATIONS and len(w) >= 3]
 BY_LENGTH: dict[int, list[str]] = {}
 for _w in LONG_VOCABULARY:
@@ -134,7 +135,11 @@ TOKEN = re.compile(r"c/|p\.º|n\.[ºª]|(?:[a-z]\.){2,}|[a-z?][a-z?'’]*[ºª]?
 
 @lru_cache(maxsize=100_000)
 def vocabulary_word(token: str) -> str:
-    """The vocabulary word a mistyped long token stands for, else the token itself."""
+    """The vocabulary word a mistyped long token, or one with unreadable characters, stands for, else the token itself."""
+    if "?" in token and len(token) >= 3:
+        fits = [w for w in READABLE if len(w) == len(token) and damerau(token, w, 0) == 0]
+        if len(fits) == 1:
+            return fits[0]
     if len(token) < 5 or token in TOWN_WORDS or token in KIND or token in DEDICATION or token in STREET or token in DEPARTMENT:
         return token
     allowed = 1 if len(token) < 9 else 2
@@ -196,8 +201,10 @@ def parse_centre(name: str | None, town: str | None = None) -> Centre:
             segments[-1].append(t)
     kind, opening, stems, tail, street, number = [], [], [], [], [], ""
     street_open, mark, whole = False, 0, False
-    parts = [[vocabulary_word(t) for t in s] for s in segments if s]
+    raw_parts = [s for s in segments if s]
+    parts = [[vocabulary_word(t) for t in s] for s in raw_parts]
     for at, words in enumerate(parts):
+        said = raw_parts[at]
         if at + 1 < len(parts) and (parts[at + 1][0].isdigit() or parts[at + 1][0] in STREET_REST) and words[0] in ("cl", "c", "co") and len(words) <= 4:
             words = ["calle", *words[1:]] if not any(w in DEDICATION for w in words) else words
         i, n = 0, len(words)
@@ -242,7 +249,9 @@ def parse_centre(name: str | None, town: str | None = None) -> Centre:
                     elif x not in STREET_REST and x not in STOP:
                         street.append(x)
                 break
-            if w in KIND_SHORT:
+            if w == "senora" and said[i] != w and (not i or words[i - 1] not in ("nuestra", "ntra", "nra", "nª", "n")):
+                stems.append(said[i])  # a name that looks like the word, as in 'Santa Senona'
+            elif w in KIND_SHORT:
                 kind += KIND_SHORT[w]
             elif w == "c" and i + 1 < n and KIND.get(words[i + 1]) in ("salud", "especialidades"):
                 kind.append("centro")
@@ -260,6 +269,13 @@ def parse_centre(name: str | None, town: str | None = None) -> Centre:
             else:
                 stems.append(w)
             i += 1
+    # the short word of a kind mistyped: 'Centro de Sald', 'Inst. de Iv.'
+    if len(stems) > 1 and set(kind) == {"centro"} and min(damerau(stems[0], "salud", 1), damerau(stems[0], "salut", 1)) <= 1:
+        kind.append("salud")
+        stems = stems[1:]
+    elif len(stems) > 1 and set(kind) == {"instituto"} and len(stems[0]) <= 3 and damerau(stems[0], "inv", 1) <= 1:
+        kind.append("investigacion")
+        stems = stems[1:]
     if town_words and len(stems) > len(town_words) and _alike_words(stems[-len(town_words) :], town_words):
         tail = stems[-len(town_words) :]
         stems = stems[: -len(town_words)]
@@ -268,12 +284,10 @@ def parse_centre(name: str | None, town: str | None = None) -> Centre:
 
 
 @lru_cache(maxsize=50_000)
-def abbreviation(token: str) -> str | None:
-    """The abbreviation a token before a dot stands for: one of three letters or more within one edit."""
-    for word in LONG_ABBREVIATIONS:
-        if abs(len(word) - len(token)) <= 1 and damerau(token, word, 1) <= 1:
-            return word
-    return None
+def abbreviation(token: str) -> tuple[str, ...]:
+    """The abbreviations a token before a dot may stand for: those of three letters or more within one edit, of its own first letter first."""
+    fits = [w for w in LONG_ABBREVIATIONS if abs(len(w) - len(token)) <= 1 and damerau(token, w, 1) <= 1]
+    return tuple(sorted(fits, key=lambda w: (w[0] != token[0], -len(w))))
 
 
 def _join_dots(raw: list[str]) -> list[str]:
@@ -283,9 +297,11 @@ def _join_dots(raw: list[str]) -> list[str]:
         if t == "." and out and out[-1] in ABBREVIATIONS:
             continue
         if t == "." and out and 3 <= len(out[-1]) <= 6:
-            near = abbreviation(out[-1])
-            if near:
-                out[-1] = near
+            if vocabulary_word(out[-1]) in STREET_REST:
+                continue
+            near = [w for w in abbreviation(out[-1]) if w not in out[:-1]]
+            if near and vocabulary_word(out[-1]) == out[-1]:
+                out[-1] = near[0]
                 continue
         out.append("|" if t == "." else t)
     return out
