@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from censo.functions import text as X
@@ -105,10 +106,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, c
 b AS (SELECT center_id, max(CASE WHEN r = 1 THEN codcnh END) AS codcnh, max(CASE WHEN r = 1 THEN score END) AS score, max(CASE WHEN r = 2 THEN score END) AS second FROM r WHERE r <= 2 GROUP BY 1)
 SELECT rws.center_id, codcnh, round(score, 6) AS score, round(second, 6) AS second, CASE WHEN score IS NULL OR score < 0.25 THEN 'sin candidato' WHEN score < 0.5 THEN 'cerca' WHEN coalesce(score - second < 0.10, false) THEN 'ambiguo' ELSE 'casado' END AS verdict FROM rws LEFT JOIN b USING (center_id)""")
 def hospital_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centre rows against the catalogue: blocks by postcode and town, synonyms united, a verdict for every row."""
-    c = table(spark, sf_dir, "centers").select("center_id", X.normalise_postcode(F.col("cod_postal")).alias("cp"), X.normalise_town(F.coalesce("localidad", F.lit(""))).alias("ciudad"), X.tokens(F.coalesce("nombre", F.lit(""))).alias("w"))
-    h = table(spark, sf_dir, "hospitals").select("codcnh", X.normalise_postcode(F.col("cod_postal")).alias("cp"), X.normalise_town(F.coalesce("municipio", F.lit(""))).alias("ciudad"), X.tokens(F.coalesce("nombre", F.lit(""))).alias("v"))
-    return blocked_match(cut(c), "center_id", "w", cut(h), "codcnh", "v", ["cp", "ciudad"]).drop("why").withColumn("score", F.round("score", 6)).withColumn("second", F.round("second", 6))
+    """Centre rows against the catalogue: blocks by province and town, synonyms united, a verdict for every row.
+
+    The province is the first two digits of the code, so its block holds every hospital of the row's postcode as well. Rows that read alike
+    are matched once.
+    """
+    side = lambda t, town: (F.substring(X.normalise_postcode(F.col("cod_postal")), 1, 2).alias("prov"), X.normalise_town(F.coalesce(town, F.lit(""))).alias("ciudad"), X.tokens(F.coalesce("nombre", F.lit(""))).alias(t))
+    c = cut(table(spark, sf_dir, "centers").select("center_id", *side("w", "localidad")))
+    h = cut(table(spark, sf_dir, "hospitals").select("codcnh", *side("v", "municipio")))
+    # whatever the order of their words
+    alike = cut(c.withColumn("w", F.array_sort("w")).withColumn("k", F.min("center_id").over(W.partitionBy("prov", "ciudad", "w"))))
+    m = blocked_match(alike.filter("center_id = k").select("k", "prov", "ciudad", "w"), "k", "w", h, "codcnh", "v", ["prov", "ciudad"]).drop("why")
+    return alike.select("center_id", "k").join(m, "k").drop("k").withColumn("score", F.round("score", 6)).withColumn("second", F.round("second", 6))
 
 
 @query("""
