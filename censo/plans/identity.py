@@ -151,18 +151,20 @@ def converted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sponsor_id, lower(trim(regexp_replace(promotor, '\\s+', ' ', 'g'))) AS limpio FROM sponsors WHERE NOT contains(promotor, '&')")
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned names, on the values both engines read alike (no entities)."""
-    s = table(spark, sf_dir, "sponsors").filter(~F.contains("promotor", F.lit("&")))
-    return s.select("sponsor_id", F.lower(X.clean_text(F.col("promotor"))).alias("limpio"))
+    """Cleaned names of the whole table, entities decoded; no name is null. The SQL, which decodes no entities, leaves names with '&' out."""
+    return table(spark, sf_dir, "sponsors").select("sponsor_id", F.lower(X.clean_text(F.col("promotor"))).alias("limpio"))
 
 
 @query("""
 WITH u AS (SELECT sponsor_id AS id, promotor AS n FROM sponsors UNION ALL SELECT funder_id, nombre FROM funders), k AS (SELECT id, regexp_replace(lower(strip_accents(regexp_replace(n, '[.,;:()\\[\\]{}"/\\\\!¡?¿''’‘´`]', ' ', 'g'))), '\\s+', '', 'g') AS k FROM u WHERE NOT contains(n, '&'))
 SELECT trim(k, '-') AS clave, count(*) AS n, min(id) AS primero FROM k GROUP BY 1 HAVING count(*) > 1""")
 def match_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spellings that differ in case, accents, punctuation or spacing only."""
+    """Spellings that differ in case, accents, punctuation, spacing or entities only; rows without a name are the group of key null.
+
+    The SQL, which decodes no entities, leaves names with '&' out.
+    """
     u = table(spark, sf_dir, "sponsors").select(F.col("sponsor_id").alias("id"), F.col("promotor").alias("n")).unionByName(table(spark, sf_dir, "funders").select(F.col("funder_id").alias("id"), F.col("nombre").alias("n")))
-    k = u.filter(~F.contains("n", F.lit("&"))).select("id", X.match_key(F.col("n")).alias("clave"))
+    k = u.select("id", X.match_key(F.col("n")).alias("clave"))
     return k.groupBy("clave").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("primero")).filter("n > 1")
 
 

@@ -40,3 +40,19 @@ def test_hospital_match_is_every_pair(spark):
         best = sorted((-round(score(h), 6), h.i) for h in near)
         want[r.i] = (best[0][1], -best[0][0], -best[1][0] if len(best) > 1 else None) if best else (None, None, None)
     assert {r.center_id: (r.codcnh, r.score, r.second) for r in I.hospital_match(spark, sf).collect()} == want
+
+
+SPONSORS = [(1, "Merck Sharp &amp; Dohme"), (2, "MERCK SHARP & DOHME"), (3, None), (4, "Alba &amp;amp; Sol, S.L."), (5, "Bruma")]
+FUNDERS = [(6, "Merck  Sharp &#38; Dohme."), (7, "Alba & Sol SL"), (8, None), (9, "Brúma"), (10, "Otro")]
+
+
+def test_text_clean_keeps_entities_and_nulls(spark, tmp_path):
+    sf = write(tmp_path, sponsors=(("sponsor_id", "promotor"), SPONSORS))
+    got = {r.sponsor_id: r.limpio for r in I.text_clean(spark, sf).collect()}
+    assert got == {1: "merck sharp & dohme", 2: "merck sharp & dohme", 3: None, 4: "alba & sol, s.l.", 5: "bruma"}
+
+
+def test_match_key_groups_keep_entities_and_nulls(spark, tmp_path):
+    sf = write(tmp_path, sponsors=(("sponsor_id", "promotor"), SPONSORS), funders=(("funder_id", "nombre"), FUNDERS))
+    got = {r.clave: (r.n, r.primero) for r in I.match_key_groups(spark, sf).collect()}
+    assert got == {"mercksharp&dohme": (3, 1), "alba&solsl": (2, 4), "bruma": (2, 5), None: (2, 3)}
