@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from censo.functions import places
 from censo.functions.udf import parse_places
+from censo.operators.components import thin_links
 from censo.operators.sites import compatible_code, mend_towns, place_keys, settle
 from censo.session import cut, table
 
 BANDS, ROWS = 20, 2
-#: A bucket with more spellings than this is linked as a star to its smallest member instead of pairwise.
+#: Larger buckets are compared block against block, of about so many spellings each.
 PAIRWISE = 24
 LEAST_SCORE = 0.72
 GAP_OPEN, GAP_EXTEND = 0.45, 0.25
@@ -99,8 +100,8 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
 def candidates(spellings: DataFrame, words: Column, places_of: Column, group: Column) -> DataFrame:
     """Candidate pairs (a, b) of spellings ``s`` sharing a band of their words' shingles, a place and a group.
 
-    Large buckets are linked as stars: their members share the band's minima, so each still meets a like spelling, and the components
-    join them; the number of candidates stays linear in the rows whatever a bucket's share of them.
+    Every pair of a bucket is a candidate. Buckets hold distinct spellings, not rows; a large one is cut into blocks that are compared each
+    with each, so that no task holds a whole bucket.
     """
     text = F.array_join(words, "")
     shingles = F.array_distinct(F.concat(words, qgrams(text)))
@@ -111,16 +112,15 @@ def candidates(spellings: DataFrame, words: Column, places_of: Column, group: Co
     same = spellings.filter((F.size(words) > 0) & (F.col("p_provincia") != "")).select("s", F.xxhash64(F.lit("v"), text, "p_provincia", group).alias("k"))
     keyed = keyed.unionByName(same)
     keyed = cut(keyed)  # the hashing is the costly part, and its result is read three times
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).filter("n > 1")
-    keyed = keyed.join(sizes.hint("merge"), "k")
-    small = keyed.filter(F.col("n") <= PAIRWISE).select("k", "s")
-    pairs = small.select("k", F.col("s").alias("a")).join(small.select("k", F.col("s").alias("b")), "k").filter("a < b").select("a", "b")
-    stars = keyed.filter(F.col("n") > PAIRWISE).filter("s <> least").select(F.col("least").alias("a"), F.col("s").alias("b"))
-    return cut(pairs.unionByName(stars).distinct())  # small plans: the driver keeps every plan and re-plans it at each stage
+    blocks = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / PAIRWISE).cast("int").alias("n"))
+    keyed = keyed.join(blocks.hint("merge"), "k").withColumn("i", F.pmod(F.xxhash64("s"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left, right = keyed.select("k", "i", "j", F.col("s").alias("a")), keyed.select("k", F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("b"))
+    pairs = left.join(right.hint("merge"), ["k", "i", "j"]).filter("a < b").select("a", "b")
+    return cut(pairs.distinct())  # small plans: the driver keeps every plan and re-plans it at each stage
 
 
 def address_links(rows: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
-    """(representatives, links): verified links between rows of parsed addresses, and copies tied to the smallest row of their spelling.
+    """(copies, links): copies tied to the smallest row of their spelling, and links with the components of the verified pairs of spellings.
 
     Rows that read alike in every parsed part are one spelling, so copies cost nothing downstream. Null parts are unknown and contradict
     nothing; a row without any name, street or place has no link.
@@ -144,8 +144,8 @@ def address_links(rows: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
     own = lambda x, y: F.when(F.col(f"p_ciudad_{x}") == "", F.filter(f"p_nucleo_{x}", lambda w: ~F.array_contains(F.split(f"p_ciudad_{y}", " "), w))).otherwise(F.col(f"p_nucleo_{x}"))
     named = both.filter("por = 'n'").withColumn("score", score(own("a", "b"), own("b", "a")))
     street = both.filter("por = 'c' AND p_numero_a = p_numero_b AND (NOT p_nombrado_a OR NOT p_nombrado_b)").withColumn("score", score(F.split("p_calle_a", " "), F.split("p_calle_b", " ")))
-    links = named.unionByName(street).filter(F.col("score") >= LEAST_SCORE).select("a", "b")
-    return copies, links
+    verified = cut(named.unionByName(street).filter(F.col("score") >= LEAST_SCORE).select("a", "b"))
+    return copies, thin_links(verified, "a", "b")
 
 
 def resolve_sites(rows: DataFrame, node: str, when: str) -> DataFrame:
