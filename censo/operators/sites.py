@@ -71,6 +71,21 @@ def star_links(keyed: DataFrame, key: str, node: str) -> DataFrame:
     return keyed.join(least.hint("merge"), key).filter(F.col(node) != F.col("b")).select(F.col(node).alias("a"), "b").distinct()
 
 
+def near_code_links(keyed: DataFrame, node: str) -> DataFrame:
+    """Links (a, b) between the smallest nodes of any two codes of a key ``k`` that are one digit or one swap apart.
+
+    Whatever the smallest node of the key is, codes that may be one thus meet. Candidates share a form with one digit left out or have the
+    same digits; work is on the distinct codes of a key, not on rows.
+    """
+    codes = keyed.filter(F.col("p_cp").isNotNull()).groupBy("k", "p_cp").agg(F.min(node).alias("s"))
+    several = codes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    cuts = F.transform(F.sequence(F.lit(1), F.length("p_cp")), lambda i: F.concat(F.substring(F.col("p_cp"), F.lit(1), i - 1), F.substring(F.col("p_cp"), i + 1, F.length("p_cp"))))
+    near = F.concat(F.array(F.col("p_cp"), F.concat(F.lit("s:"), F.array_join(F.array_sort(F.split("p_cp", "")), ""))), cuts)
+    near = codes.join(several.hint("merge"), "k").filter("p_cp <> ''").select("k", "p_cp", "s", F.explode(F.array_distinct(near)).alias("c"))
+    a, b = near.select("k", "c", F.col("p_cp").alias("ca"), F.col("s").alias("a")), near.select("k", "c", F.col("p_cp").alias("cb"), F.col("s").alias("b"))
+    return a.join(b.hint("merge"), ["k", "c"]).filter((F.col("ca") < F.col("cb")) & (F.col("a") != F.col("b")) & compatible_code(F.col("ca"), F.col("cb"))).select("a", "b")
+
+
 def place_links(rows: DataFrame, node: str) -> DataFrame:
     """Links (a, b) between rows of parsed names at a common place whose names are equal up to one slip.
 
@@ -78,10 +93,10 @@ def place_links(rows: DataFrame, node: str) -> DataFrame:
     """
     named = rows.filter("p_nombrado").select(node, name_text().alias("_t"), F.col("p_familia").alias("_f"), "p_cp", place_keys().alias("_p"))
     keyed = named.select(node, "_f", "p_cp", F.explode("_p").alias("_p"), "_t").select(node, F.explode(deletions(F.col("_t"))).alias("_d"), "_f", "_p", "p_cp")
-    # inside a town, codes that are no slip of each other are different sites: the key carries the code's first four or last three digits
+    # inside a town, codes that are no slip of each other are different sites: a row meets the rows of its own code as well
     code = F.explode(F.when(F.col("p_cp").isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col("p_cp"))))
     full = keyed.withColumn("_c", code).select(node, F.xxhash64("_d", "_f", "_p", "_c").alias("k"))
-    links = star_links(full, "k", node)
+    links = star_links(full, "k", node).unionByName(near_code_links(keyed.withColumn("k", F.xxhash64("_d", "_f", "_p")), node)).distinct()
     side = lambda x: rows.select(F.col(node).alias(x), F.col("p_cp").alias(f"c{x}"), name_text().alias(f"t{x}"))
     a, b = side("a"), side("b")
     return links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(compatible_code(F.col("ca"), F.col("cb")) & long_alike(F.col("ta"), F.col("tb"))).select("a", "b")

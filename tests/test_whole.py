@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from censo.operators.sites import place_links
 from censo.plans import identity as I
 
 
@@ -56,3 +57,11 @@ def test_match_key_groups_keep_entities_and_nulls(spark, tmp_path):
     sf = write(tmp_path, sponsors=(("sponsor_id", "promotor"), SPONSORS), funders=(("funder_id", "nombre"), FUNDERS))
     got = {r.clave: (r.n, r.primero) for r in I.match_key_groups(spark, sf).collect()}
     assert got == {"mercksharp&dohme": (3, 1), "alba&solsl": (2, 4), "bruma": (2, 5), None: (2, 3)}
+
+
+def test_place_links_reach_compatible_codes(spark):
+    """The smallest row of a name and town is a namesake with another code; slips of the site's code are linked all the same."""
+    rows = [(1, "10001"), (2, "28013"), (3, "28013"), (4, "28012"), (5, "28031"), (6, "47999")]
+    df = spark.createDataFrame([(i, True, ["virgen", "alba"], "H", "pueblo", c) for i, c in rows], "center_id long, p_nombrado boolean, p_nucleo array<string>, p_familia string, p_ciudad string, p_cp string")
+    got = {frozenset((r.a, r.b)) for r in place_links(df, "center_id").collect()}
+    assert got == {frozenset(p) for p in [(2, 3), (2, 4), (2, 5)]}
