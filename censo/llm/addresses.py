@@ -161,6 +161,13 @@ def parsed_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(mend_towns(cut(parse_places(table(spark, sf_dir, "centers").select(*CENTRE_COLUMNS), "nombre", "localidad", "cod_postal", "provincia", "ccaa"))))
 
 
+def p4_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(center_id, sitio): every linked centre row with the smallest center_id of its address, and the number of its rows in ``filas``."""
+    sites = cut(resolve_sites(parsed_centres(spark, sf_dir), "center_id", "actualizado_en"))
+    n = sites.groupBy("site").agg(F.count(F.lit(1)).alias("filas"))
+    return sites.join(n.hint("merge"), "site").select(F.col("node").alias("center_id"), F.col("site").alias("sitio"), "filas")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of centre rows at one address, but for pairs a reviewer already grouped."""
     sites = cut(resolve_sites(parsed_centres(spark, sf_dir), "center_id", "actualizado_en"))

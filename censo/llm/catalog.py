@@ -13,7 +13,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": truth.p1_found,
         "p4_found": addresses.p4_found,
+        "p4_sites": addresses.p4_sites,
         "p5_found": spellings.p5_found,
+        "p5_entities": spellings.p5_entities,
         "p7_found": linkage.p7_found,
         "p7_links": linkage.p7_links,
         "p8_packed": packing.p8_packed,

@@ -79,12 +79,12 @@ def test_p4_found(spark, sf):
 
 
 @pytest.mark.parametrize("name,want", [
-    ("Dr. F. Brunollano Jarmónosas", ("persona", ["f", "brunollano", "jarmonosas"])), ("Brunollano Jarmónosas, Paco", ("persona", ["francisco", "brunollano", "jarmonosas"])),
+    ("Dr. F. Brunollano Jarmónosas", ("persona", ["f", "brunollano", "jarmonosas"], 0, True)), ("Brunollano Jarmónosas, Paco", ("persona", ["brunollano", "jarmonosas", "francisco"], 2, False)), ("Pfizer", ("", ["pfizer"])),
     ("Lab. Evkinyarora Yaryfrbioex", ("lab", ["evkinyarora", "yaryfrbioex"])), ("Engpryvexon Vithelwynal Biotechnology, C/ Tejares 24", ("biotec", ["engpryvexon", "vithelwynal"])),
     ("Yarulmaxity-Bronexbroora Pharmaceutical S.L.U., c/ Noria 24", ("farma", ["yarulmaxity", "bronexbroora"])), ("N/A", None), ("", None), (None, None),
 ])
 def test_parse_name(name, want):
-    assert S.parse_name(name) == want
+    assert S.parse_name(name) == (S.Name(*want) if want else None)
 
 
 def test_automaton():
@@ -135,6 +135,57 @@ def test_resolve_names(spark):
     assert S.resolve_names(S.parse_names(df.limit(0), "id", "n")).count() == 0
 
 
+def entities(spark, names):
+    df = spark.createDataFrame(list(enumerate(names)), "id long, n string")
+    return {r.id: r.entity for r in S.resolve_names(S.parse_names(df, "id", "n")).collect()}
+
+
+def test_names_of_no_list(spark):
+    """Given names that no vocabulary holds, five surnames, and organisations' words in every order."""
+    five = "Lucía Otero Amaya Ruiz Sanz Mota"
+    names = ["Dra. Lucía Pérez Gómez", "Lucia Perez Gomes", "Pérez Gómez, Lucía", "Pérez Gómez Lucía", "L. Pérez Gómez", "Pérez G., Lucía", five, five.upper(), "Ruiz Mota Sanz Otero Amaya, Lucía",
+             "Fundación Alfa Betania Gamona", "Fundación Betania Gamona Alfa", "Gamona Alfa Betania Foundation", "Fund. Alfa Gamona Betania", "Fund. Gamonz Betania Alfa", "Fundación Alfa Betania Deltoria",
+             "Dr. Ximo Tarrés Bonet", "X. Tarrés", "Xavi Tarrés Bonet", "Dra. Lucía Gómez Pérez", "Pfizer", "PFIZER.", "Bayer"]
+    got = entities(spark, names)
+    assert {got[i] for i in range(6)} == {0} == {got[18]} and {got[i] for i in (6, 7, 8)} == {6} and {got[i] for i in range(9, 14)} == {9} and got[14] == 14
+    assert got[15] == 15 and got[17] == 17 and got[16] == 16 and got[19] == got[20] == 19 and got[21] == 21
+
+
+def test_recall_of_planted_variants(spark):
+    """People of invented given names under six spellings each: nearly all pairs are linked, and none across people."""
+    rng = random.Random(11)
+    syllable = lambda: rng.choice("bcdfglmnprstv") + rng.choice("aeiou") + rng.choice(["", "l", "n", "r", "s"])
+    word = lambda k: "".join(syllable() for _ in range(k))
+    givens = [word(3) for _ in range(25)]
+    names, who = [], []
+    for p in range(120):
+        g, a, b = rng.choice(givens), word(4), word(4)
+        at = rng.randrange(1, len(a))
+        for n in (f"{g} {a} {b}", f"Dr. {g} {a} {b}", f"{a} {b}, {g}", f"{a} {b} {g}".upper(), f"{g[0]}. {a} {b}", f"{g} {a[:at]}x{a[at + 1 :]} {b}"):
+            names.append(n)
+            who.append(p)
+    got = entities(spark, names)
+    pairs = [(i, j) for i, j in combinations(range(len(names)), 2) if got[i] == got[j]]
+    right = sum(who[i] == who[j] for i, j in pairs)
+    assert right >= 0.97 * 120 * 15 and right >= 0.99 * len(pairs)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_words_fit_is_an_assignment(seed):
+    from itertools import permutations
+
+    rng = random.Random(seed)
+    pool = ["perez", "peres", "p", "gomez", "g", "ruiz", "r", "ramos"]
+    for _ in range(300):
+        x, y = [rng.choice(pool) for _ in range(rng.randrange(1, 4))], [rng.choice(pool) for _ in range(rng.randrange(1, 5))]
+        some = [p for p in permutations(y, len(x)) if all(S.word_fits(u, v) for u, v in zip(x, p))] if len(x) <= len(y) else []
+        got = S.words_fit(x, y)
+        assert not got or some
+        if any(S.word_fits(u, v) == 2 for p in some for u, v in zip(x, p)) and not any(len(w) == 1 for w in x + y):
+            assert got
+    assert S.same_person(["a", *["bcdefg"] * 40, "zzzzz"], ["a", "zzzzz", *["bcdefg"] * 40])
+
+
 def test_p5_found(spark, sf):
     rows = S.p5_found(spark, sf).collect()
     assert len(rows) == len(set(rows)) and all(r.id_a < r.id_b for r in rows)
