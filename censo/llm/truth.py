@@ -20,17 +20,16 @@ from censo.functions import places
 from censo.functions.udf import kind_name
 from censo.session import cut, table
 
-ROUNDS = 12
+#: Rounds after which a discovery that has not converged is an error; from DAMPED on reliabilities move half way only, which ends cycles.
+ROUNDS, DAMPED = 40, 8
 #: Half-life of a claim on a value that changes in time, in days.
 HALF_LIFE_DAYS = 120.0
 #: A source's reliability lies between these.
 LEAST_TRUST, MOST_TRUST = 0.05, 0.98
 
-# The proper openings of centre names.
-PROPER = (
-    "Hospital Universitario", "Hospital General", "Hospital Comarcal", "Clínica", "Centro de Salud", "Centro de Especialidades", "Instituto de Investigación",
-)
-PROPER_WORDS = frozenset("hospital universitario general comarcal clinica centro salud especialidades instituto investigacion".split())
+# Nouns that open a centre's name; adjectives ('general', 'universitario') follow them.
+NOUNS = frozenset("hospital clinica centro instituto complejo".split())
+FULL_WORDS = frozenset(places.KIND.values())
 
 
 def properness(name: str | None, town: str | None = None) -> int:
@@ -44,16 +43,16 @@ def properness(name: str | None, town: str | None = None) -> int:
     small = {"de", "del", "la", "las", "los", "el", "y", "i", "d'"}
     if name == name.upper() or name == name.lower() or any(w[0].islower() and w.lower() not in small for w in words if w[0].isalpha()):
         score -= 25
-    score += 20 if name.startswith(PROPER) else 0
     score -= 12 * len(re.findall(r"[,;()./:]| - |[0-9]", name))
     folded = [places.fold(w).strip(".,;()'") for w in words]
+    score += 20 if folded and folded[0] in NOUNS else 0
     for f in folded:
         canonical = places.KIND.get(f) or places.DEDICATION.get(f)
         if f in places.KIND_SHORT or (canonical and canonical != f) or f in ("ns", "s", "n", "nª", "sª"):
             score -= 15
         if f in ("clinico", "zona", "complejo", "asistencial", "servicio", "dpto", "unidad", "sº"):
             score -= 6
-        if f not in PROPER_WORDS and places.vocabulary_word(f) in PROPER_WORDS:
+        if f not in FULL_WORDS and places.vocabulary_word(f) in FULL_WORDS:
             score -= 15
     c = places.parse_centre(name, town)
     score -= 15 * len(c.tail) + 15 * (len(c.street) > 0) + 30 * (not c.named)
@@ -122,8 +121,8 @@ def discover(votes: DataFrame, changing: Column | None = None, rounds: int = ROU
 
     ``votes``: (grupo, campo, clave, fuente, n, cuando): n claims of a source for a key, the last at ``cuando``. Where ``changing`` holds, a
     vote halves with every HALF_LIFE_DAYS before the newest of its group and field. A source's reliability is its (smoothed) share of claims
-    that agree with the truths; its vote weighs log odds. Ties go to the newer, then to the smaller key. Fully distributed; only the table of
-    sources is small. Converged when no truth changes, at the latest after ``rounds``.
+    that agree with the truths; its vote weighs log odds. Ties go to the newer, then to the greater key. Fully distributed; only the table of
+    sources is small. Converged when no truth changes; raises if ``rounds`` do not get there.
     """
     w = W.partitionBy("grupo", "campo")
     age = F.coalesce((F.unix_micros(F.max("cuando").over(w)) - F.unix_micros("cuando")) / F.lit(8.64e10), F.lit(36500.0))
@@ -131,7 +130,7 @@ def discover(votes: DataFrame, changing: Column | None = None, rounds: int = ROU
     v = cut(votes.withColumn("frescura", F.when(changing, fresh).otherwise(F.lit(1.0)) if changing is not None else F.lit(1.0)))
     trust = v.select("fuente", "campo").distinct().withColumn("fiabilidad", F.lit(0.8))
     seen = None
-    for _ in range(rounds):
+    for at in range(rounds):
         weighted = v.join(trust, ["fuente", "campo"])
         weight = F.log(F.col("fiabilidad") / (1 - F.col("fiabilidad"))) + F.lit(1.5)
         score = weighted.groupBy("grupo", "campo", "clave").agg(F.sum(F.greatest(weight, F.lit(0.05)) * F.col("n") * F.col("frescura")).alias("apoyo"), F.max("cuando").alias("cuando"))
@@ -139,18 +138,25 @@ def discover(votes: DataFrame, changing: Column | None = None, rounds: int = ROU
         truths = cut(best.select("grupo", "campo", F.col("b.clave").alias("verdad"), F.col("b.apoyo").alias("apoyo")))
         state = truths.agg(F.sum(F.xxhash64("grupo", "campo", "verdad").cast("decimal(38,0)"))).first()[0]
         agreed = v.join(truths, ["grupo", "campo"]).groupBy("fuente", "campo").agg(((F.sum(F.when(F.col("clave") == F.col("verdad"), F.col("n")).otherwise(0)) + 4.0) / (F.sum("n") + 5.0)).alias("fiabilidad"))
-        trust = cut(agreed.select("fuente", "campo", F.greatest(F.least("fiabilidad", F.lit(MOST_TRUST)), F.lit(LEAST_TRUST)).alias("fiabilidad")))
+        new = agreed.select("fuente", "campo", F.greatest(F.least("fiabilidad", F.lit(MOST_TRUST)), F.lit(LEAST_TRUST)).alias("fiabilidad"))
+        if at >= DAMPED:
+            old = trust.withColumnRenamed("fiabilidad", "antes")
+            new = new.join(old, ["fuente", "campo"]).select("fuente", "campo", ((F.col("fiabilidad") + F.col("antes")) / 2).alias("fiabilidad"))
+        trust = cut(new)
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"truths did not settle in {rounds} rounds")
     return truths.withColumnRenamed("verdad", "clave"), trust
 
 
 def surviving(rows: DataFrame) -> DataFrame:
     """(grupo, campo, valor): the surviving nombre, provincia and ccaa of each group, spelled as some row spells it.
 
-    A group without any claim on a field has no row for it. The true name is the newest kind with the best supported words; where no row
-    writes both, the most proper row of the words. Postcode prefixes vote for the province they go with elsewhere, provinces for their region.
+    A group without any claim on a field has no row for it. The name is that of a row which claims the true words (else words two letters from
+    them), of those one with the true kind if there is any, of those the most proper spelling; so support decides what is true, and
+    properness only which of the rows that say it is spelled in full. Postcode prefixes vote for the province they go with elsewhere, provinces for their region.
     """
     claims = cut(claims_of(rows))
     count = lambda df: df.groupBy("grupo", "campo", "clave", "fuente").agg(F.count(F.lit(1)).alias("n"), F.max("cuando").alias("cuando"))
@@ -178,7 +184,7 @@ def surviving(rows: DataFrame) -> DataFrame:
     names = names.join(core, "grupo").join(kind, "grupo", "left")
     same_kind = F.coalesce(F.col("t") == F.col("tipo"), F.lit(False))
     slip = F.levenshtein("k", "nucleo")
-    rank = F.struct(same_kind.alias("a"), (F.when(slip == 0, 2).when(slip <= 2, 1).otherwise(0)).alias("b"), "limpio", "n", "cuando", "texto")
+    rank = F.struct((F.when(slip == 0, 2).when(slip <= 2, 1).otherwise(0)).alias("b"), same_kind.alias("a"), "limpio", "n", "cuando", "texto")
     name = names.groupBy("grupo").agg(F.max_by("texto", rank).alias("valor")).select("grupo", F.lit("nombre").alias("campo"), "valor")
     return name.unionByName(region.select("grupo", "campo", "valor"))
 

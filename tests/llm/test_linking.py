@@ -230,16 +230,18 @@ def brute_truth(votes, rounds=U.ROUNDS):
 
     trust = {s: 0.8 for _, _, s, _ in votes}
     seen = None
-    for _ in range(rounds):
+    for at in range(rounds):
         score = {}
         for g, k, s, n in votes:
             score[g, k] = score.get((g, k), 0) + max(math.log(trust[s] / (1 - trust[s])) + 1.5, 0.05) * n
         truth = {g: max((round(v, 9), k) for (h, k), v in score.items() if h == g)[1] for g, _ in score}
-        trust = {s: max(min((sum(n for g, k, x, n in votes if x == s and truth[g] == k) + 4) / (sum(n for _, _, x, n in votes if x == s) + 5), U.MOST_TRUST), U.LEAST_TRUST) for s in trust}
+        old, trust = trust, {s: max(min((sum(n for g, k, x, n in votes if x == s and truth[g] == k) + 4) / (sum(n for _, _, x, n in votes if x == s) + 5), U.MOST_TRUST), U.LEAST_TRUST) for s in trust}
+        if at >= U.DAMPED:
+            trust = {s: (x + old[s]) / 2 for s, x in trust.items()}
         if truth == seen:
-            break
+            return truth
         seen = truth
-    return truth
+    raise AssertionError("not settled")
 
 
 @pytest.mark.parametrize("seed", range(3))
