@@ -1,8 +1,9 @@
 """Problem 7: matching centres and an official catalogue without a common key, with a confidence for each match.
 
 Matching functions vote (for, against, silent) on every candidate pair; a generative label model learns by expectation maximisation how
-each function votes on true and on false pairs, and models the pairs of functions that depend on each other jointly; its posterior is the
-confidence. Rows of one site pool their evidence, so a row with little of its own gets the hospital of its site.
+each function votes on true and on false pairs, and models the pairs of functions that depend on each other jointly. Rows of one site pool their
+votes, so a row with little of its own gets the hospital of its site. Each site takes the hospital of the largest posterior; claims of
+several sites on one hospital that contradict each other share it, and what is left of the posterior is the confidence.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from censo.functions.udf import parse_places
 from censo.llm.addresses import _score, fuzzy_town_keys, minhash_bands, parsed_centres, qgrams, resolve_sites
 from censo.operators.sites import compatible_code, place_keys
-from censo.session import cut, release, table
+from censo.session import cut, table
 
 VOTERS = ("v_nombre", "v_exacto", "v_apertura", "v_tipo", "v_ciudad", "v_codigo", "v_provincia")
-OPENINGS = ("doctor", "doctora", "san", "santa", "virgen", "nuestra", "senora", "rio", "montes", "puerta", "ciudad")
+#: Words that at least this share of the catalogue's names (and three of them) contain tell nothing apart: 'Nuestra Señora'.
+COMMON_SHARE = 0.01
 #: Dependence (conditional mutual information, nats) from which two voters are modelled jointly.
 DEPENDENT = 0.02
 
@@ -116,12 +118,23 @@ def vote(good: Column, bad: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), 1).when(F.coalesce(bad, F.lit(False)), -1).otherwise(0)
 
 
-def bucketed(df: DataFrame, node: str) -> DataFrame:
+def common_words(listed: DataFrame) -> list[str]:
+    """Words of the catalogue's names that COMMON_SHARE of them contain: at most 1 / COMMON_SHARE times the words of a mean name."""
+    n = listed.count()
+    counts = listed.select(F.explode(F.array_distinct("p_nucleo")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["w"] for r in counts.filter(F.col("n") >= max(3.0, COMMON_SHARE * n)).select("w").collect())
+
+
+def word_array(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+
+
+def bucketed(df: DataFrame, node: str, common: list[str]) -> DataFrame:
     """(node, k): bands of the shingles of the words that tell names apart, joined with each place key.
 
-    Opening words ('Nuestra Señora') are left out: they would make half of a province's names alike. Names of opening words only use them.
+    Common words are left out: they would make half of a province's names alike. Names of common words only use them.
     """
-    telling = F.array_except("p_nucleo", F.array(*map(F.lit, OPENINGS)))
+    telling = F.array_except("p_nucleo", word_array(common))
     words = F.when(F.size(telling) > 0, telling).otherwise(F.col("p_nucleo"))
     shingles = F.array_distinct(F.concat(words, qgrams(F.array_join(words, ""))))
     at = F.concat(place_keys(), fuzzy_town_keys())
@@ -134,13 +147,14 @@ def bucketed(df: DataFrame, node: str) -> DataFrame:
 
 def voted_pairs(centres: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Candidate pairs (s, codcnh) with the votes of every voter. ``centres`` has spellings ``s``; both sides carry the parsed columns."""
-    pairs = bucketed(centres, "s").join(bucketed(hospitals, "codcnh").hint("merge"), "k").select("s", "codcnh").distinct()
+    common = common_words(hospitals)
+    pairs = bucketed(centres, "s", common).join(bucketed(hospitals, "codcnh", common).hint("merge"), "k").select("s", "codcnh").distinct()
     parts = ("p_nucleo", "p_tipo", "p_ciudad", "p_cp", "p_provincia")
     side = lambda df, n, x: df.select(n, *(F.col(c).alias(f"{c}_{x}") for c in parts))
     p = pairs.join(side(centres, "s", "c").hint("merge"), "s").join(side(hospitals, "codcnh", "h").hint("merge"), "codcnh")
     own = lambda x, y: F.filter(f"p_nucleo_{x}", lambda w: ~F.array_contains(F.split(f"p_ciudad_{y}", " "), w))
     p = p.withColumn("parecido", F.pandas_udf(_score, "double")(own("c", "h"), own("h", "c")))
-    openings = F.array(*map(F.lit, OPENINGS))
+    openings = word_array(common)
     oc, oh = F.array_sort(F.array_intersect("p_nucleo_c", openings)), F.array_sort(F.array_intersect("p_nucleo_h", openings))
     near = F.levenshtein("p_ciudad_c", "p_ciudad_h") <= F.when(F.length("p_ciudad_h") >= 8, 3).otherwise(1)
     both = lambda c: (F.col(f"{c}_c") != "") & (F.col(f"{c}_h") != "")
@@ -163,16 +177,22 @@ def link(centres: DataFrame, sites: DataFrame, hospitals: DataFrame, least: floa
     """(center_id, codcnh, confianza): at most one hospital for every centre row that names a centre.
 
     ``centres``: parsed rows; ``sites``: (node, site). Kinds that the catalogue does not list at all (by family) have no candidates. Rows that
-    read alike are scored once. Repeated catalogue rows of one codcnh count once; null codcnh never matches.
+    read alike are scored once. A site votes as most of its rows do. Repeated catalogue rows of one codcnh count once; null codcnh never
+    matches. Of sites that claim one hospital, one whose kind (or postcode) contradicts the catalogue competes with the best one whose kind
+    (or postcode) agrees: the hospital is one house, so their posteriors are normalised together. Ties go to the greater codcnh.
     """
     parts = ["p_nucleo", "p_tipo", "p_ciudad", "p_cp", "p_provincia"]
-    listed = hospitals.filter("codcnh IS NOT NULL").groupBy("codcnh").agg(*(F.min(c).alias(c) for c in [*parts, "p_familia"]))
-    listed = cut(listed)
+    listed = cut(hospitals.filter("codcnh IS NOT NULL").groupBy("codcnh").agg(*(F.min(c).alias(c) for c in [*parts, "p_familia"])))
     named = centres.filter("p_nombrado").join(listed.select("p_familia").distinct().unionByName(centres.sparkSession.createDataFrame([("",)], "p_familia string")).distinct(), "p_familia", "left_semi")
-    spelled = cut(named.groupBy(*parts).agg(F.min("center_id").alias("s"), F.count(F.lit(1)).alias("copias")))
-    voted = cut(voted_pairs(spelled, listed))
-    release(centres.sparkSession)
-    weights = voted.join(spelled.select("s", "copias"), "s").groupBy(*VOTERS).agg(F.sum("copias").alias("n")).collect()  # at most 3 ** 7 rows
+    spelled = cut(named.groupBy(*parts).agg(F.min("center_id").alias("s")))
+    voted = voted_pairs(spelled, listed).select("s", "codcnh", *VOTERS)
+    rows = named.join(spelled.select(*parts, "s"), on=[named[c].eqNullSafe(spelled[c]) for c in parts]).select("center_id", "s")
+    rows = rows.join(sites.hint("merge"), rows["center_id"] == sites["node"], "left").select("center_id", "s", F.coalesce("site", "center_id").alias("site"))
+    rows = cut(rows)
+    copies = rows.groupBy("site", "s").agg(F.count(F.lit(1)).alias("n"))
+    pooled = copies.join(voted.hint("merge"), "s").groupBy("site", "codcnh").agg(*(F.signum(F.sum(F.col(v) * F.col("n"))).cast("int").alias(v) for v in VOTERS), F.sum("n").alias("n"))
+    pooled = cut(pooled)
+    weights = pooled.groupBy(*VOTERS).agg(F.sum("n").alias("n")).orderBy(*VOTERS).collect()  # at most 3 ** 7 rows
     patterns = [tuple(r[v] for v in VOTERS) for r in weights]
     model = LabelModel().fit(patterns, [float(r["n"]) for r in weights])
     odds = {p: max(min(model.log_odds(p), 30.0), -30.0) for p in patterns}
@@ -180,31 +200,20 @@ def link(centres: DataFrame, sites: DataFrame, hospitals: DataFrame, least: floa
     def score(*votes: pd.Series) -> pd.Series:
         return pd.Series([odds.get(tuple(int(x) for x in v), -30.0) for v in zip(*votes)], dtype="float64")
 
-    scored = voted.select("s", "codcnh", "v_tipo", "v_nombre", "v_ciudad", "v_codigo", F.pandas_udf(score, "double")(*VOTERS).alias("z"))
-    # a name that does not fit is no evidence, nor is a name without town or postcode that fits
-    scored = cut(scored).filter("v_nombre >= 0 AND (v_ciudad = 1 OR (v_codigo = 1 AND v_ciudad = 0))")
-    rows = named.join(spelled.select(*parts, "s"), on=[named[c].eqNullSafe(spelled[c]) for c in parts]).select("center_id", "s")
-    rows = rows.join(sites.hint("merge"), rows["center_id"] == sites["node"], "left").select("center_id", "s", F.coalesce("site", "center_id").alias("site"))
-    rows = cut(rows)
-    pooled = rows.join(scored.hint("merge"), "s").groupBy("site", "codcnh").agg(F.sum("z").alias("z"), F.max("z").alias("best"), F.max("v_tipo").alias("tipo"), F.max("v_codigo").alias("codigo"), F.count(F.lit(1)).alias("n"))
-    # the site's choice; a hospital that names its kind in one site is not also the differently named neighbour of it
-    pooled = cut(pooled.filter("z > 0 AND best > 0"))
-    chosen = pooled.groupBy("site").agg(F.max_by(F.struct("codcnh", "z", "tipo", "codigo", "n"), F.struct("tipo", "codigo", "z", "codcnh")).alias("x")).select("site", "x.*")
-    chosen = cut(chosen)
-    firm = chosen.filter("tipo = 1").select("codcnh").distinct().withColumn("firme", F.lit(True))
-    chosen = chosen.join(firm, "codcnh", "left").filter("tipo = 1 OR firme IS NULL").drop("firme")
-    # likewise a site at the catalogue's postcode against a namesake at another one
-    there = chosen.filter("codigo = 1").select("codcnh").distinct().withColumn("firme", F.lit(True))
-    chosen = chosen.join(there, "codcnh", "left").filter("codigo >= 0 OR firme IS NULL")
-    conf = 1 / (1 + F.exp(-F.col("z") / F.col("n")))
-    return rows.join(chosen.hint("merge"), "site").select("center_id", "codcnh", conf.alias("confianza")).filter(F.col("confianza") >= least)
+    scored = pooled.select("site", "codcnh", "v_tipo", "v_codigo", F.pandas_udf(score, "double")(*VOTERS).alias("z"))
+    chosen = cut(scored.groupBy("site").agg(F.max(F.struct("z", "codcnh", "v_tipo", "v_codigo")).alias("x")).select("site", "x.*").filter("z > 0"))
+    best = lambda v: F.max(F.when(F.col(v) == 1, F.col("z"))).alias(f"z_{v}")
+    chosen = chosen.join(chosen.groupBy("codcnh").agg(best("v_tipo"), best("v_codigo")).hint("merge"), "codcnh")
+    rival = lambda v: F.when((F.col(v) == -1) & F.col(f"z_{v}").isNotNull(), F.exp(F.col(f"z_{v}") - F.col("z"))).otherwise(F.lit(0.0))
+    conf = 1 / (1 + F.exp(-F.col("z")) + rival("v_tipo") + rival("v_codigo"))
+    chosen = chosen.select("site", "codcnh", conf.alias("confianza")).filter(F.col("confianza") >= least)
+    return rows.join(chosen.hint("merge"), "site").select("center_id", "codcnh", "confianza")
 
 
 def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every centre row with its hospital and the confidence of the match."""
     centres = parsed_centres(spark, sf_dir)
     sites = cut(resolve_sites(centres, "center_id", "actualizado_en"))
-    release(spark)
     hospitals = cut(parse_places(table(spark, sf_dir, "hospitals").select("codcnh", "nombre", "municipio", "cod_postal", "provincia"), "nombre", "municipio", "cod_postal", "provincia"))
     return link(centres, sites, hospitals).select("center_id", "codcnh", F.round("confianza", 4).alias("confianza"))
 
