@@ -70,19 +70,26 @@ def damerau(a: str, b: str, most: int = 3) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    # only the band of cells that can hold a distance up to ``most``: cell o of row i stands for the first i + o - most letters of ``b``
+    far, width = most + 1, 2 * most + 1
+    before, row = [far] * (width + 1), [o - most if 0 <= o - most <= len(b) else far for o in range(width)] + [far]
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            cost = 0 if x == y or x == "?" or y == "?" else 1
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + cost)
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
+        new, left = [far] * (width + 1), far
+        for o in range(max(0, most - i), min(width, len(b) - i + most + 1)):
+            j = i + o - most
+            if j == 0:
+                d = i
+            else:
+                y = b[j - 1]
+                d = row[o] if x == y or x == "?" or y == "?" else row[o] + 1
+                d = min(d, row[o + 1] + 1, left + 1)
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
+                    d = min(d, before[o] + 1)
+            new[o] = left = min(d, far)
         if min(new) > most:
-            return most + 1
+            return far
         before, row = row, new
-    return min(row[-1], most + 1)
+    return row[len(b) - len(a) + most]
 
 
 # Kinds of centres and their abbreviations and translations.
