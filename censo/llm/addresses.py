@@ -7,7 +7,7 @@ links are settled into sites by the core.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,12 +43,36 @@ def qgrams(text: Column, q: int = 2) -> Column:
     return F.regexp_extract_all(F.concat(F.lit("_"), text, F.lit("_")), F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
 
 
-def fuzzy_town_keys(keys: int = 4) -> Column:
-    """Keys of a town that survive slips no correction has mended: each two minima of its 3-grams, rare enough to stay small as towns grow."""
+def _town_bands(keys: int = 4) -> Column:
+    """Keys of a town that survive slips: each two minima of its 3-grams, rare enough to stay small as towns grow."""
     grams = qgrams(F.col("p_ciudad"), 3)
     least = lambda seed: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, seed)))
-    each = F.transform(F.sequence(F.lit(0), F.lit(keys - 1)), lambda i: F.concat(F.lit("m:"), F.xxhash64(i, least(i * 2), least(i * 2 + 1)).cast("string")))
-    return F.when(F.col("p_ciudad") != "", each).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.sequence(F.lit(0), F.lit(keys - 1)), lambda i: F.xxhash64(i, least(i * 2), least(i * 2 + 1)))
+
+
+def near_town(a: Column, b: Column) -> Column:
+    """Two known towns up to the slips no correction has mended."""
+    return (a != "") & (b != "") & (F.levenshtein(a, b) <= F.when((F.length(a) >= 8) | (F.length(b) >= 8), 3).otherwise(1))
+
+
+def town_neighbours(*tables: DataFrame) -> DataFrame:
+    """(p_ciudad, cerca): every town that is near more frequent ones (in all tables) with those; equally frequent ones by name.
+
+    Works on distinct towns, so that rows need the keys of their own town and, if it is a slip, of the towns it may stand for.
+    """
+    each = [t.filter("p_ciudad <> ''").select("p_ciudad") for t in tables]
+    towns = reduce(DataFrame.unionByName, each).groupBy("p_ciudad").agg(F.count(F.lit(1)).alias("n"))
+    keyed = cut(towns.select("p_ciudad", "n", F.explode(_town_bands()).alias("k")))
+    a, b = keyed.select("k", F.col("p_ciudad").alias("ta"), F.col("n").alias("na")), keyed.select("k", F.col("p_ciudad").alias("tb"), F.col("n").alias("nb"))
+    less = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ta") < F.col("tb")))
+    near = a.join(b.hint("merge"), "k").filter(less & near_town(F.col("ta"), F.col("tb")))
+    return cut(near.groupBy(F.col("ta").alias("p_ciudad")).agg(F.collect_set("tb").alias("cerca")))
+
+
+def with_places(rows: DataFrame, towns: DataFrame) -> DataFrame:
+    """``rows`` with ``lugares``: the keys of their town, of the towns it may stand for, and of their postcode."""
+    near = F.transform(F.coalesce("cerca", F.array().cast("array<string>")), lambda t: F.concat(F.lit("t:"), t))
+    return rows.join(towns.hint("merge"), "p_ciudad", "left").withColumn("lugares", F.concat(place_keys(), near)).drop("cerca")
 
 
 @lru_cache(maxsize=500_000)
@@ -94,58 +118,84 @@ def align(a: list[str], b: list[str]) -> float:
 
 
 def _score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([align(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b)], dtype="float64")
+    seen: dict[tuple, float] = {}
+
+    def one(x, y) -> float:
+        key = (tuple(x) if x is not None else (), tuple(y) if y is not None else ())
+        if key not in seen:
+            seen[key] = align(list(key[0]), list(key[1]))
+        return seen[key]
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def candidates(spellings: DataFrame, words: Column, places_of: Column, group: Column) -> DataFrame:
     """Candidate pairs (a, b) of spellings ``s`` sharing a band of their words' shingles, a place and a group.
 
-    Every pair of a bucket is a candidate. Buckets hold distinct spellings, not rows; a large one is cut into blocks that are compared each
-    with each, so that no task holds a whole bucket.
+    Bands belong to word lists and are compared once for all spellings of a list at a place. Every pair of a bucket is a candidate; a large
+    bucket is cut into blocks that are compared each with each, so that no task holds a whole bucket.
     """
-    text = F.array_join(words, "")
-    shingles = F.array_distinct(F.concat(words, qgrams(text)))
+    own = F.xxhash64(words, group)
+    at = spellings.filter(F.size(words) > 0).select("s", own.alias("c"), F.explode(F.array_distinct(places_of)).alias("at"))
+    at = cut(at.select("s", "c", F.xxhash64("at").alias("at")))
+    lists = spellings.filter(F.size(words) > 0).groupBy(own.alias("c")).agg(F.min(words).alias("w"), F.min(group).alias("g"))
     # a column of its own: inside the bands' expression the shingles would be built again for every hash
-    keyed = spellings.filter(F.size(words) > 0).select("s", group.alias("g"), places_of.alias("at"), shingles.alias("sh")).select("s", "g", "at", minhash_bands(F.col("sh")).alias("bands"))
-    keyed = keyed.select("s", "g", F.explode("at").alias("at"), "bands").select("s", F.explode("bands").alias("band"), "at", "g").select("s", F.xxhash64("band", "at", "g").alias("k"))
-    # a town too damaged for any key: the same words within a province are compared as well
-    same = spellings.filter((F.size(words) > 0) & (F.col("p_provincia") != "")).select("s", F.xxhash64(F.lit("v"), text, "p_provincia", group).alias("k"))
-    keyed = keyed.unionByName(same)
-    keyed = cut(keyed)  # the hashing is the costly part, and its result is read three times
+    lists = lists.select("c", "g", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh")).select("c", F.transform(minhash_bands(F.col("sh")), lambda b: F.xxhash64(b, F.col("g"))).alias("bands"))
+    keyed = at.select("c", "at").distinct().join(lists.hint("merge"), "c").select("c", "at", F.explode("bands").alias("band")).select("c", "at", F.xxhash64("band", "at").alias("k"))
+    keyed = cut(keyed)  # read three times
     blocks = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / PAIRWISE).cast("int").alias("n"))
-    keyed = keyed.join(blocks.hint("merge"), "k").withColumn("i", F.pmod(F.xxhash64("s"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left, right = keyed.select("k", "i", "j", F.col("s").alias("a")), keyed.select("k", F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("b"))
-    pairs = left.join(right.hint("merge"), ["k", "i", "j"]).filter("a < b").select("a", "b")
-    return cut(pairs.distinct())  # small plans: the driver keeps every plan and re-plans it at each stage
+    keyed = keyed.join(blocks.hint("merge"), "k").withColumn("i", F.pmod(F.xxhash64("c"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left, right = keyed.select("k", "i", "j", "at", F.col("c").alias("ca")), keyed.select("k", F.col("j").alias("i"), F.col("i").alias("j"), F.col("c").alias("cb"))
+    lists_near = cut(left.join(right.hint("merge"), ["k", "i", "j"]).filter("ca < cb").select("at", "ca", "cb").distinct())
+    side = lambda x: at.select("at", F.col("c").alias(f"c{x}"), F.col("s").alias(x))
+    pairs = lists_near.join(side("a").hint("merge"), ["at", "ca"]).join(side("b").hint("merge"), ["at", "cb"]).select("a", "b")
+    # the same words at one place, and where a town is too damaged for any key, within a province
+    same = at.select("s", F.xxhash64("c", "at").alias("k")).unionByName(spellings.filter((F.size(words) > 0) & (F.col("p_provincia") != "")).select("s", F.xxhash64(own, F.lit("v"), "p_provincia").alias("k")))
+    several = same.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / PAIRWISE).cast("int").alias("n"))
+    same = same.join(several.hint("merge"), "k").withColumn("i", F.pmod(F.xxhash64("s"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left, right = same.select("k", "i", "j", F.col("s").alias("a")), same.select("k", F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("b"))
+    pairs = pairs.unionByName(left.join(right.hint("merge"), ["k", "i", "j"]).select("a", "b")).filter("a <> b")
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())  # small plans: the driver keeps every plan and re-plans it at each stage
+
+
+NAME_PARTS = ["p_nucleo", "p_familia", "p_ciudad", "p_cp"]
+STREET_PARTS = [*NAME_PARTS, "p_calle", "p_numero", "p_nombrado"]
+
+
+def _spelled(rows: DataFrame, parts: list[str], node: str, towns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spellings with the smallest row ``s`` of each, links of the other rows to it): rows that agree in all ``parts`` are one spelling."""
+    spelled = cut(with_places(rows.groupBy(*parts).agg(F.min(node).alias("s"), F.max("p_provincia").alias("p_provincia")), towns))
+    copies = rows.select(node, *parts).join(spelled.select(*parts, "s").hint("merge"), on=[rows[p].eqNullSafe(spelled[p]) for p in parts]).filter(F.col(node) != F.col("s"))
+    return spelled, copies.select(F.col(node).alias("a"), F.col("s").alias("b"))
 
 
 def address_links(rows: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
     """(copies, links): copies tied to the smallest row of their spelling, and links with the components of the verified pairs of spellings.
 
-    Rows that read alike in every parsed part are one spelling, so copies cost nothing downstream. Null parts are unknown and contradict
-    nothing; a row without any name, street or place has no link.
+    Rows that agree in every part a link is verified on are one spelling, so copies cost nothing downstream. Null parts are unknown and
+    contradict nothing; a row without any name, street or place has no link.
     """
-    parts = ["p_nucleo", "p_familia", "p_calle", "p_numero", "p_ciudad", "p_cp", "p_nombrado", "p_cola", "p_provincia"]
     rows = rows.filter("(p_nombrado OR p_calle <> '') AND (p_ciudad <> '' OR p_cp IS NOT NULL)")
-    spelled = cut(rows.groupBy(*parts).agg(F.min(node).alias("s")))
-    copies = rows.join(spelled.select(*parts, "s"), on=[rows[p].eqNullSafe(spelled[p]) for p in parts]).filter(F.col(node) != F.col("s")).select(F.col(node).alias("a"), F.col("s").alias("b"))
-    places_of = F.concat(place_keys(), fuzzy_town_keys())
-    by_name = candidates(spelled.filter("p_nombrado"), F.col("p_nucleo"), places_of, F.col("p_familia"))
-    street_words = F.array_append(F.split("p_calle", " "), F.col("p_numero"))
-    by_street = candidates(spelled.filter("p_calle <> '' AND p_numero <> ''"), street_words, places_of, F.lit("calle"))
-    side = lambda x: spelled.select(*(F.col(c).alias(f"{c}_{x}") for c in parts), F.col("s").alias(x))
+    towns = town_neighbours(rows)
+    named, named_copies = _spelled(rows.filter("p_nombrado"), NAME_PARTS, node, towns)
+    street, street_copies = _spelled(rows.filter("p_calle <> '' AND p_numero <> ''"), STREET_PARTS, node, towns)
     score = F.pandas_udf(_score, "double")
-    both = by_name.withColumn("por", F.lit("n")).unionByName(by_street.withColumn("por", F.lit("c"))).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(compatible_code(F.col("p_cp_a"), F.col("p_cp_b")))
-    ta, tb = F.col("p_ciudad_a"), F.col("p_ciudad_b")
-    same_code = F.coalesce(F.col("p_cp_a") == F.col("p_cp_b"), F.lit(False))
-    near_town = (ta != "") & (tb != "") & (F.levenshtein(ta, tb) <= F.when(F.length(ta) >= 8, 3).otherwise(1))
-    both = both.filter(near_town | (same_code & ((ta == "") | (tb == ""))))
+
+    def located(pairs: DataFrame, spelled: DataFrame, parts: list[str]) -> DataFrame:
+        side = lambda x: spelled.select(F.col("s").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in parts))
+        both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(compatible_code(F.col("p_cp_a"), F.col("p_cp_b")))
+        ta, tb = F.col("p_ciudad_a"), F.col("p_ciudad_b")
+        same_code = F.coalesce(F.col("p_cp_a") == F.col("p_cp_b"), F.lit(False))
+        return both.filter(near_town(ta, tb) | (same_code & ((ta == "") | (tb == ""))))
+
     # a town's name at the end of a centre's name is no part of it
     own = lambda x, y: F.when(F.col(f"p_ciudad_{x}") == "", F.filter(f"p_nucleo_{x}", lambda w: ~F.array_contains(F.split(f"p_ciudad_{y}", " "), w))).otherwise(F.col(f"p_nucleo_{x}"))
-    named = both.filter("por = 'n'").withColumn("score", score(own("a", "b"), own("b", "a")))
-    street = both.filter("por = 'c' AND p_numero_a = p_numero_b AND (NOT p_nombrado_a OR NOT p_nombrado_b)").withColumn("score", score(F.split("p_calle_a", " "), F.split("p_calle_b", " ")))
-    verified = cut(named.unionByName(street).filter(F.col("score") >= LEAST_SCORE).select("a", "b"))
-    return copies, thin_links(verified, "a", "b")
+    by_name = located(candidates(named, F.col("p_nucleo"), F.col("lugares"), F.col("p_familia")), named, NAME_PARTS).withColumn("score", score(own("a", "b"), own("b", "a")))
+    street_words = F.array_append(F.split("p_calle", " "), F.col("p_numero"))
+    by_street = located(candidates(street, street_words, F.col("lugares"), F.lit("calle")), street, STREET_PARTS).filter("p_numero_a = p_numero_b AND (NOT p_nombrado_a OR NOT p_nombrado_b)")
+    by_street = by_street.withColumn("score", score(F.split("p_calle_a", " "), F.split("p_calle_b", " ")))
+    verified = cut(by_name.select("a", "b", "score").unionByName(by_street.select("a", "b", "score")).filter(F.col("score") >= LEAST_SCORE).select("a", "b"))
+    return named_copies.unionByName(street_copies).distinct(), thin_links(verified, "a", "b")
 
 
 def resolve_sites(rows: DataFrame, node: str, when: str) -> DataFrame:

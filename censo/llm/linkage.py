@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censo.functions.udf import parse_places
-from censo.llm.addresses import _score, fuzzy_town_keys, minhash_bands, parsed_centres, qgrams, resolve_sites
-from censo.operators.sites import compatible_code, place_keys
+from censo.llm.addresses import _score, minhash_bands, near_town, parsed_centres, qgrams, resolve_sites, town_neighbours, with_places
+from censo.operators.sites import compatible_code
 from censo.session import cut, table
 
 VOTERS = ("v_nombre", "v_exacto", "v_apertura", "v_tipo", "v_ciudad", "v_codigo", "v_provincia")
@@ -130,25 +130,26 @@ def word_array(words: list[str]) -> Column:
 
 
 def bucketed(df: DataFrame, node: str, common: list[str]) -> DataFrame:
-    """(node, k): bands of the shingles of the words that tell names apart, joined with each place key.
+    """(node, k): bands of the shingles of the words that tell names apart, joined with each of ``lugares``.
 
     Common words are left out: they would make half of a province's names alike. Names of common words only use them.
     """
     telling = F.array_except("p_nucleo", word_array(common))
     words = F.when(F.size(telling) > 0, telling).otherwise(F.col("p_nucleo"))
-    shingles = F.array_distinct(F.concat(words, qgrams(F.array_join(words, ""))))
-    at = F.concat(place_keys(), fuzzy_town_keys())
-    keyed = df.filter(F.size(words) > 0).select(node, at.alias("at"), shingles.alias("sh")).select(node, "at", minhash_bands(F.col("sh")).alias("bands"))
-    banded = keyed.select(node, F.explode("bands").alias("band"), "at").select(node, "band", F.explode("at").alias("p")).select(node, F.xxhash64("band", "p").alias("k"))
+    named = df.select(node, words.alias("w"), "lugares", "p_provincia").filter(F.size("w") > 0)
+    lists = named.groupBy("w").agg(F.first(F.lit(1))).select("w", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh")).select("w", minhash_bands(F.col("sh")).alias("bands"))
+    keyed = named.join(lists.hint("merge"), "w").select(node, F.explode("bands").alias("band"), "lugares").select(node, "band", F.explode(F.array_distinct("lugares")).alias("p")).select(node, F.xxhash64("band", "p").alias("k"))
     # a town too damaged for any key: the same words within a province
-    same = df.filter((F.size(words) > 0) & (F.col("p_provincia") != "")).select(node, F.xxhash64(F.lit("v"), F.array_join(words, ""), "p_provincia").alias("k"))
-    return banded.unionByName(same)
+    same = named.filter("p_provincia <> ''").select(node, F.xxhash64(F.lit("v"), F.array_join("w", ""), "p_provincia").alias("k"))
+    return keyed.unionByName(same)
 
 
 def voted_pairs(centres: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Candidate pairs (s, codcnh) with the votes of every voter. ``centres`` has spellings ``s``; both sides carry the parsed columns."""
     common = common_words(hospitals)
-    pairs = bucketed(centres, "s", common).join(bucketed(hospitals, "codcnh", common).hint("merge"), "k").select("s", "codcnh").distinct()
+    towns = town_neighbours(centres, hospitals)
+    catalogue = cut(bucketed(with_places(hospitals, towns), "codcnh", common))
+    pairs = bucketed(with_places(centres, towns), "s", common).join(catalogue.hint("merge"), "k").select("s", "codcnh").distinct()
     parts = ("p_nucleo", "p_tipo", "p_ciudad", "p_cp", "p_provincia")
     side = lambda df, n, x: df.select(n, *(F.col(c).alias(f"{c}_{x}") for c in parts))
     p = pairs.join(side(centres, "s", "c").hint("merge"), "s").join(side(hospitals, "codcnh", "h").hint("merge"), "codcnh")
@@ -156,7 +157,7 @@ def voted_pairs(centres: DataFrame, hospitals: DataFrame) -> DataFrame:
     p = p.withColumn("parecido", F.pandas_udf(_score, "double")(own("c", "h"), own("h", "c")))
     openings = word_array(common)
     oc, oh = F.array_sort(F.array_intersect("p_nucleo_c", openings)), F.array_sort(F.array_intersect("p_nucleo_h", openings))
-    near = F.levenshtein("p_ciudad_c", "p_ciudad_h") <= F.when(F.length("p_ciudad_h") >= 8, 3).otherwise(1)
+    near = near_town(F.col("p_ciudad_c"), F.col("p_ciudad_h"))
     both = lambda c: (F.col(f"{c}_c") != "") & (F.col(f"{c}_h") != "")
     known = F.col("p_cp_c").isNotNull() & F.col("p_cp_h").isNotNull()
     code = compatible_code(F.col("p_cp_c"), F.col("p_cp_h"))

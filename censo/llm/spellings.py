@@ -121,24 +121,37 @@ def parse_name(name: str | None) -> Name | None:
     return Name("persona", [NICKNAMES.get(p, p) for p in parts], min(before, len(parts) - 1), title)
 
 
+_MOVES: dict[tuple, tuple | None] = {}
+
+
 class Automaton:
-    """Levenshtein automaton of one word: states are capped rows of the distance table, transitions are made once and kept."""
+    """Levenshtein automaton of one word: a state is the letters read and the cells of the distance table within ``k`` of the diagonal.
+
+    Transitions depend on the cells and on which letters of the word around the diagonal match, so they are made once for all words.
+    """
 
     def __init__(self, word: str, k: int) -> None:
         self.word, self.k = word, k
-        self.start = tuple(min(i, k + 1) for i in range(len(word) + 1))
-        self.moves: dict[tuple, tuple | None] = {}
+        self.start = (0, tuple(o - k if 0 <= o - k <= len(word) else k + 1 for o in range(2 * k + 1)))
 
     def step(self, state: tuple, ch: str) -> tuple | None:
-        key = (state, ch)
-        if key in self.moves:
-            return self.moves[key]
-        cap, new = self.k + 1, [min(state[0] + 1, self.k + 1)]
-        for i, c in enumerate(self.word):
-            new.append(min(state[i + 1] + 1, new[i] + 1, state[i] + (c != ch), cap))
-        out = tuple(new) if min(new) <= self.k else None
-        self.moves[key] = out
-        return out
+        k, d = self.k, state[0] + 1
+        # cell o of the new row stands for the first d + o - k letters of the word
+        width = min(2 * k + 1, len(self.word) - d + k + 1)
+        at = d - k - 1
+        key = (k, state[1], width, tuple(at + o >= 0 and self.word[at + o] == ch for o in range(width)))
+        if key not in _MOVES:
+            old, new = (*state[1], k + 1), [k + 1] * (2 * k + 1)
+            for o in range(width):
+                new[o] = min(old[o + 1] + 1, (new[o - 1] if o else k + 1) + 1, old[o] + (not key[3][o]), k + 1)
+            _MOVES[key] = tuple(new) if min(new) <= k else None
+        out = _MOVES[key]
+        return None if out is None else (d, out)
+
+    def distance(self, state: tuple) -> int:
+        """Edits between the word and the letters read, more than ``k`` counting as ``k + 1``."""
+        o = len(self.word) - state[0] + self.k
+        return state[1][o] if 0 <= o <= 2 * self.k else self.k + 1
 
 
 def build_trie(words: list[str]) -> dict:
@@ -158,8 +171,8 @@ def walk(trie: dict, auto: Automaton) -> Iterator[tuple[str, int]]:
         node, state = stack.pop()
         for ch, child in node.items():
             if ch == "":
-                if state[-1] <= auto.k:
-                    yield child, state[-1]
+                if auto.distance(state) <= auto.k:
+                    yield child, auto.distance(state)
                 continue
             new = auto.step(state, ch)
             if new is not None:
