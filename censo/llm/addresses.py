@@ -62,7 +62,7 @@ def town_neighbours(*tables: DataFrame) -> DataFrame:
     """
     each = [t.filter("p_ciudad <> ''").select("p_ciudad") for t in tables]
     towns = reduce(DataFrame.unionByName, each).groupBy("p_ciudad").agg(F.count(F.lit(1)).alias("n"))
-    keyed = cut(towns.select("p_ciudad", "n", F.explode(_town_bands()).alias("k")))
+    keyed = towns.select("p_ciudad", "n", F.explode(_town_bands()).alias("k"))
     a, b = keyed.select("k", F.col("p_ciudad").alias("ta"), F.col("n").alias("na")), keyed.select("k", F.col("p_ciudad").alias("tb"), F.col("n").alias("nb"))
     less = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ta") < F.col("tb")))
     near = a.join(b.hint("merge"), "k").filter(less & near_town(F.col("ta"), F.col("tb")))
@@ -129,73 +129,64 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def candidates(spellings: DataFrame, words: Column, places_of: Column, group: Column) -> DataFrame:
-    """Candidate pairs (a, b) of spellings ``s`` sharing a band of their words' shingles, a place and a group.
+def blocks(keyed: DataFrame, what: str, carry: list[str]) -> DataFrame:
+    """(a, b, carry...): all pairs a < b of ``what`` that share a key ``k``; a key of more than PAIRWISE is compared block against block."""
+    size = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / PAIRWISE).cast("int").alias("n"))
+    cells = keyed.join(size.hint("merge"), "k").withColumn("i", F.pmod(F.xxhash64(what), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left, right = cells.select("k", "i", "j", *carry, F.col(what).alias("a")), cells.select("k", F.col("j").alias("i"), F.col("i").alias("j"), F.col(what).alias("b"))
+    return left.join(right.hint("merge"), ["k", "i", "j"]).filter("a < b").select("a", "b", *carry)
+
+
+def candidates(spellings: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of ``s`` of spellings (s, w, g, lugares, p_provincia): those of one group ``g`` that share a band of their words' shingles and a place.
 
     Bands belong to word lists and are compared once for all spellings of a list at a place. Every pair of a bucket is a candidate; a large
-    bucket is cut into blocks that are compared each with each, so that no task holds a whole bucket.
+    bucket is cut into blocks that are compared each with each, so that no task holds a whole bucket. Spellings of the same words at one place,
+    or in one province where a town is too damaged for any key, are candidates as well; those without words are not.
     """
-    own = F.xxhash64(words, group)
-    at = spellings.filter(F.size(words) > 0).select("s", own.alias("c"), F.explode(F.array_distinct(places_of)).alias("at"))
-    at = cut(at.select("s", "c", F.xxhash64("at").alias("at")))
-    lists = spellings.filter(F.size(words) > 0).groupBy(own.alias("c")).agg(F.min(words).alias("w"), F.min(group).alias("g"))
-    # a column of its own: inside the bands' expression the shingles would be built again for every hash
-    lists = lists.select("c", "g", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh")).select("c", F.transform(minhash_bands(F.col("sh")), lambda b: F.xxhash64(b, F.col("g"))).alias("bands"))
+    n = int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = spellings.filter(F.size("w") > 0).withColumn("c", F.xxhash64("w", "g"))
+    at = known.select("s", "c", F.explode(F.array_distinct("lugares")).alias("at")).select("s", "c", F.xxhash64("at").alias("at"))
+    # a column of its own: inside the bands' expression the shingles would be built again for every hash; a fixed number of parts: small rows, much work
+    lists = known.select("c", "g", "w").distinct().repartition(n, "c").select("c", "g", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh"))
+    lists = lists.select("c", F.transform(minhash_bands(F.col("sh")), lambda b: F.xxhash64(b, F.col("g"))).alias("bands"))
     keyed = at.select("c", "at").distinct().join(lists.hint("merge"), "c").select("c", "at", F.explode("bands").alias("band")).select("c", "at", F.xxhash64("band", "at").alias("k"))
-    keyed = cut(keyed)  # read three times
-    blocks = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / PAIRWISE).cast("int").alias("n"))
-    keyed = keyed.join(blocks.hint("merge"), "k").withColumn("i", F.pmod(F.xxhash64("c"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left, right = keyed.select("k", "i", "j", "at", F.col("c").alias("ca")), keyed.select("k", F.col("j").alias("i"), F.col("i").alias("j"), F.col("c").alias("cb"))
-    lists_near = cut(left.join(right.hint("merge"), ["k", "i", "j"]).filter("ca < cb").select("at", "ca", "cb").distinct())
-    side = lambda x: at.select("at", F.col("c").alias(f"c{x}"), F.col("s").alias(x))
-    pairs = lists_near.join(side("a").hint("merge"), ["at", "ca"]).join(side("b").hint("merge"), ["at", "cb"]).select("a", "b")
-    # the same words at one place, and where a town is too damaged for any key, within a province
-    same = at.select("s", F.xxhash64("c", "at").alias("k")).unionByName(spellings.filter((F.size(words) > 0) & (F.col("p_provincia") != "")).select("s", F.xxhash64(own, F.lit("v"), "p_provincia").alias("k")))
-    several = same.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / PAIRWISE).cast("int").alias("n"))
-    same = same.join(several.hint("merge"), "k").withColumn("i", F.pmod(F.xxhash64("s"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    left, right = same.select("k", "i", "j", F.col("s").alias("a")), same.select("k", F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("b"))
-    pairs = pairs.unionByName(left.join(right.hint("merge"), ["k", "i", "j"]).select("a", "b")).filter("a <> b")
-    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())  # small plans: the driver keeps every plan and re-plans it at each stage
-
+    lists_near = blocks(cut(keyed), "c", ["at"]).distinct()
+    side = lambda x: at.select("at", F.col("c").alias(x), F.col("s").alias(f"s{x}"))
+    pairs = lists_near.join(side("a").hint("merge"), ["at", "a"]).join(side("b").hint("merge"), ["at", "b"]).select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    same = at.select("s", F.xxhash64("c", "at").alias("k")).unionByName(known.filter("p_provincia <> ''").select("s", F.xxhash64("c", F.lit("v"), "p_provincia").alias("k")))
+    return cut(pairs.unionByName(blocks(same, "s", [])).distinct())  # small plans: the driver keeps every plan and re-plans it at each stage
 
-NAME_PARTS = ["p_nucleo", "p_familia", "p_ciudad", "p_cp"]
-STREET_PARTS = [*NAME_PARTS, "p_calle", "p_numero", "p_nombrado"]
 
-
-def _spelled(rows: DataFrame, parts: list[str], node: str, towns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spellings with the smallest row ``s`` of each, links of the other rows to it): rows that agree in all ``parts`` are one spelling."""
-    spelled = cut(with_places(rows.groupBy(*parts).agg(F.min(node).alias("s"), F.max("p_provincia").alias("p_provincia")), towns))
-    copies = rows.select(node, *parts).join(spelled.select(*parts, "s").hint("merge"), on=[rows[p].eqNullSafe(spelled[p]) for p in parts]).filter(F.col(node) != F.col("s"))
-    return spelled, copies.select(F.col(node).alias("a"), F.col("s").alias("b"))
+PARTS = ["por", "p_nucleo", "p_familia", "p_ciudad", "p_cp", "p_calle", "p_numero", "p_nombrado"]
 
 
 def address_links(rows: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
     """(copies, links): copies tied to the smallest row of their spelling, and links with the components of the verified pairs of spellings.
 
-    Rows that agree in every part a link is verified on are one spelling, so copies cost nothing downstream. Null parts are unknown and
-    contradict nothing; a row without any name, street or place has no link.
+    A named row is spelled by its name and place (``por`` 'n'), a row with street and number by these as well ('c'). Rows that agree in every
+    part a link is verified on are one spelling, so copies cost nothing downstream. Null parts are unknown and contradict nothing; a row without
+    any name, street or place has no link.
     """
     rows = rows.filter("(p_nombrado OR p_calle <> '') AND (p_ciudad <> '' OR p_cp IS NOT NULL)")
-    towns = town_neighbours(rows)
-    named, named_copies = _spelled(rows.filter("p_nombrado"), NAME_PARTS, node, towns)
-    street, street_copies = _spelled(rows.filter("p_calle <> '' AND p_numero <> ''"), STREET_PARTS, node, towns)
-    score = F.pandas_udf(_score, "double")
-
-    def located(pairs: DataFrame, spelled: DataFrame, parts: list[str]) -> DataFrame:
-        side = lambda x: spelled.select(F.col("s").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in parts))
-        both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(compatible_code(F.col("p_cp_a"), F.col("p_cp_b")))
-        ta, tb = F.col("p_ciudad_a"), F.col("p_ciudad_b")
-        same_code = F.coalesce(F.col("p_cp_a") == F.col("p_cp_b"), F.lit(False))
-        return both.filter(near_town(ta, tb) | (same_code & ((ta == "") | (tb == ""))))
-
+    by_name = rows.filter("p_nombrado").withColumn("por", F.lit("n")).withColumn("p_calle", F.lit("")).withColumn("p_numero", F.lit(""))
+    by_street = rows.filter("p_calle <> '' AND p_numero <> ''").withColumn("por", F.lit("c"))
+    both = by_name.select(node, "p_provincia", *PARTS).unionByName(by_street.select(node, "p_provincia", *PARTS))
+    spelled = with_places(both.groupBy(*PARTS).agg(F.min(node).alias("id"), F.max("p_provincia").alias("p_provincia")), town_neighbours(rows))
+    named = F.col("por") == "n"
+    words = F.when(named, F.col("p_nucleo")).otherwise(F.array_append(F.split("p_calle", " "), F.col("p_numero")))
+    spelled = cut(spelled.select(*PARTS, "id", "p_provincia", "lugares", F.concat("por", F.col("id").cast("string")).alias("s"), words.alias("w"), F.when(named, F.col("p_familia")).otherwise(F.lit("calle")).alias("g")))
+    copies = both.join(spelled.select(*PARTS, "id").hint("merge"), on=[both[p].eqNullSafe(spelled[p]) for p in PARTS]).filter(F.col(node) != F.col("id")).select(F.col(node).alias("a"), F.col("id").alias("b"))
+    side = lambda x: spelled.select(F.col("s").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in [*PARTS, "id"]))
+    pairs = candidates(spelled).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(compatible_code(F.col("p_cp_a"), F.col("p_cp_b")))
+    ta, tb = F.col("p_ciudad_a"), F.col("p_ciudad_b")
+    same_code = F.coalesce(F.col("p_cp_a") == F.col("p_cp_b"), F.lit(False))
+    pairs = pairs.filter(near_town(ta, tb) | (same_code & ((ta == "") | (tb == "")))).filter("por_a = 'n' OR (p_numero_a = p_numero_b AND (NOT p_nombrado_a OR NOT p_nombrado_b))")
     # a town's name at the end of a centre's name is no part of it
     own = lambda x, y: F.when(F.col(f"p_ciudad_{x}") == "", F.filter(f"p_nucleo_{x}", lambda w: ~F.array_contains(F.split(f"p_ciudad_{y}", " "), w))).otherwise(F.col(f"p_nucleo_{x}"))
-    by_name = located(candidates(named, F.col("p_nucleo"), F.col("lugares"), F.col("p_familia")), named, NAME_PARTS).withColumn("score", score(own("a", "b"), own("b", "a")))
-    street_words = F.array_append(F.split("p_calle", " "), F.col("p_numero"))
-    by_street = located(candidates(street, street_words, F.col("lugares"), F.lit("calle")), street, STREET_PARTS).filter("p_numero_a = p_numero_b AND (NOT p_nombrado_a OR NOT p_nombrado_b)")
-    by_street = by_street.withColumn("score", score(F.split("p_calle_a", " "), F.split("p_calle_b", " ")))
-    verified = cut(by_name.select("a", "b", "score").unionByName(by_street.select("a", "b", "score")).filter(F.col("score") >= LEAST_SCORE).select("a", "b"))
-    return named_copies.unionByName(street_copies).distinct(), thin_links(verified, "a", "b")
+    text = lambda x, y: F.when(F.col("por_a") == "n", own(x, y)).otherwise(F.split(f"p_calle_{x}", " "))
+    verified = pairs.withColumn("score", F.pandas_udf(_score, "double")(text("a", "b"), text("b", "a"))).filter(F.col("score") >= LEAST_SCORE)
+    return copies.distinct(), thin_links(cut(verified.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).filter("a <> b")), "a", "b")
 
 
 def resolve_sites(rows: DataFrame, node: str, when: str) -> DataFrame:

@@ -137,7 +137,8 @@ def bucketed(df: DataFrame, node: str, common: list[str]) -> DataFrame:
     telling = F.array_except("p_nucleo", word_array(common))
     words = F.when(F.size(telling) > 0, telling).otherwise(F.col("p_nucleo"))
     named = df.select(node, words.alias("w"), "lugares", "p_provincia").filter(F.size("w") > 0)
-    lists = named.groupBy("w").agg(F.first(F.lit(1))).select("w", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh")).select("w", minhash_bands(F.col("sh")).alias("bands"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = named.select("w").distinct().repartition(n, "w").select("w", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh")).select("w", minhash_bands(F.col("sh")).alias("bands"))
     keyed = named.join(lists.hint("merge"), "w").select(node, F.explode("bands").alias("band"), "lugares").select(node, "band", F.explode(F.array_distinct("lugares")).alias("p")).select(node, F.xxhash64("band", "p").alias("k"))
     # a town too damaged for any key: the same words within a province
     same = named.filter("p_provincia <> ''").select(node, F.xxhash64(F.lit("v"), F.array_join("w", ""), "p_provincia").alias("k"))
@@ -148,8 +149,7 @@ def voted_pairs(centres: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Candidate pairs (s, codcnh) with the votes of every voter. ``centres`` has spellings ``s``; both sides carry the parsed columns."""
     common = common_words(hospitals)
     towns = town_neighbours(centres, hospitals)
-    catalogue = cut(bucketed(with_places(hospitals, towns), "codcnh", common))
-    pairs = bucketed(with_places(centres, towns), "s", common).join(catalogue.hint("merge"), "k").select("s", "codcnh").distinct()
+    pairs = bucketed(with_places(centres, towns), "s", common).join(bucketed(with_places(hospitals, towns), "codcnh", common).hint("merge"), "k").select("s", "codcnh").distinct()
     parts = ("p_nucleo", "p_tipo", "p_ciudad", "p_cp", "p_provincia")
     side = lambda df, n, x: df.select(n, *(F.col(c).alias(f"{c}_{x}") for c in parts))
     p = pairs.join(side(centres, "s", "c").hint("merge"), "s").join(side(hospitals, "codcnh", "h").hint("merge"), "codcnh")
