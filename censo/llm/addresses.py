@@ -62,7 +62,7 @@ def town_neighbours(*tables: DataFrame) -> DataFrame:
     """
     each = [t.filter("p_ciudad <> ''").select("p_ciudad") for t in tables]
     towns = reduce(DataFrame.unionByName, each).groupBy("p_ciudad").agg(F.count(F.lit(1)).alias("n"))
-    keyed = towns.select("p_ciudad", "n", F.explode(_town_bands()).alias("k"))
+    keyed = towns.select("p_ciudad", "n", F.explode_outer(_town_bands()).alias("k"))
     a, b = keyed.select("k", F.col("p_ciudad").alias("ta"), F.col("n").alias("na")), keyed.select("k", F.col("p_ciudad").alias("tb"), F.col("n").alias("nb"))
     less = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ta") < F.col("tb")))
     near = a.join(b.hint("merge"), "k").filter(less & near_town(F.col("ta"), F.col("tb")))
@@ -150,7 +150,7 @@ def candidates(spellings: DataFrame) -> DataFrame:
     # a column of its own: inside the bands' expression the shingles would be built again for every hash; a fixed number of parts: small rows, much work
     lists = known.select("c", "g", "w").distinct().repartition(n, "c").select("c", "g", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh"))
     lists = lists.select("c", F.transform(minhash_bands(F.col("sh")), lambda b: F.xxhash64(b, F.col("g"))).alias("bands"))
-    keyed = at.select("c", "at").distinct().join(lists.hint("merge"), "c").select("c", "at", F.explode("bands").alias("band")).select("c", "at", F.xxhash64("band", "at").alias("k"))
+    keyed = at.select("c", "at").distinct().join(lists.hint("merge"), "c").select("c", "at", F.explode_outer("bands").alias("band")).select("c", "at", F.xxhash64("band", "at").alias("k"))
     lists_near = blocks(cut(keyed), "c", ["at"]).distinct()
     side = lambda x: at.select("at", F.col("c").alias(x), F.col("s").alias(f"s{x}"))
     pairs = lists_near.join(side("a").hint("merge"), ["at", "a"]).join(side("b").hint("merge"), ["at", "b"]).select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))

@@ -139,7 +139,7 @@ def bucketed(df: DataFrame, node: str, common: list[str]) -> DataFrame:
     named = df.select(node, words.alias("w"), "lugares", "p_provincia").filter(F.size("w") > 0)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = named.select("w").distinct().repartition(n, "w").select("w", F.array_distinct(F.concat("w", qgrams(F.array_join("w", "")))).alias("sh")).select("w", minhash_bands(F.col("sh")).alias("bands"))
-    keyed = named.join(lists.hint("merge"), "w").select(node, F.explode("bands").alias("band"), "lugares").select(node, "band", F.explode(F.array_distinct("lugares")).alias("p")).select(node, F.xxhash64("band", "p").alias("k"))
+    keyed = named.join(lists.hint("merge"), "w").select(node, F.explode_outer("bands").alias("band"), "lugares").select(node, "band", F.explode(F.array_distinct("lugares")).alias("p")).select(node, F.xxhash64("band", "p").alias("k"))
     # a town too damaged for any key: the same words within a province
     same = named.filter("p_provincia <> ''").select(node, F.xxhash64(F.lit("v"), F.array_join("w", ""), "p_provincia").alias("k"))
     return keyed.unionByName(same)
