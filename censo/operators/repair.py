@@ -29,7 +29,7 @@ def triangulate(rows: DataFrame, id_col: str, code: str, centre: str, town: str,
 
     def tier(scope: str) -> DataFrame:
         votes = whole.filter(F.col(scope).isNotNull()).groupBy(scope, F.col("c").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-        keyed = votes.select(scope, "w", "n", F.explode(one_deletions(F.col("w"))).alias("c"))
+        keyed = votes.select(scope, "w", "n", F.explode_outer(one_deletions(F.col("w"))).alias("c"))
         seen = short.select(scope, "c").distinct().join(keyed, [scope, "c"])
         top = seen.groupBy(scope, "c").agg(F.max("n").alias("n"))
         best = seen.join(top, [scope, "c", "n"]).groupBy(scope, "c").agg(F.min("w").alias("w"), F.count(F.lit(1)).alias("k"))

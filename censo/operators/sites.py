@@ -49,7 +49,7 @@ def mend_towns(rows: DataFrame, least_ratio: int = 2) -> DataFrame:
     other has at least ``least_ratio`` times its rows. Work is on distinct spellings with their counts, not on rows.
     """
     towns = rows.filter("p_ciudad <> ''").groupBy("p_ciudad").agg(F.count(F.lit(1)).alias("n"))
-    keyed = towns.select("p_ciudad", "n", F.explode(deletions(F.col("p_ciudad"))).alias("d"))
+    keyed = towns.select("p_ciudad", "n", F.explode_outer(deletions(F.col("p_ciudad"))).alias("d"))
     best = keyed.groupBy("d").agg(F.max(F.struct("n", "p_ciudad")).alias("best"))
     mended = keyed.join(best.hint("merge"), "d").filter((F.col("best.p_ciudad") != F.col("p_ciudad")) & long_alike(F.col("best.p_ciudad"), F.col("p_ciudad")) & (F.col("best.n") >= F.col("n") * least_ratio)).groupBy("p_ciudad").agg(F.max("best").alias("to")).select("p_ciudad", F.col("to.p_ciudad").alias("_to"))
     return rows.join(mended.hint("merge"), "p_ciudad", "left").withColumn("p_ciudad", F.coalesce("_to", "p_ciudad")).select(*rows.columns)
@@ -92,7 +92,7 @@ def place_links(rows: DataFrame, node: str) -> DataFrame:
     Groups of one key are linked as stars, so no group is expanded into pairs. Rows without name or place have no link.
     """
     named = rows.filter("p_nombrado").select(node, name_text().alias("_t"), F.col("p_familia").alias("_f"), "p_cp", place_keys().alias("_p"))
-    keyed = named.select(node, "_f", "p_cp", F.explode("_p").alias("_p"), "_t").select(node, F.explode(deletions(F.col("_t"))).alias("_d"), "_f", "_p", "p_cp")
+    keyed = named.select(node, "_f", "p_cp", F.explode("_p").alias("_p"), "_t").select(node, F.explode_outer(deletions(F.col("_t"))).alias("_d"), "_f", "_p", "p_cp")
     # inside a town, codes that are no slip of each other are different sites: a row meets the rows of its own code as well
     code = F.explode(F.when(F.col("p_cp").isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col("p_cp"))))
     full = keyed.withColumn("_c", code).select(node, F.xxhash64("_d", "_f", "_p", "_c").alias("k"))
