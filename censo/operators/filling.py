@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from censo.session import cut
-
 DAY = 86400.0
 
 
@@ -19,28 +17,33 @@ def seconds(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp")) / F.lit(1e6)
 
 
-def neighbours(df: DataFrame, entity: str, time: str, order: str, value: str, bucket: str = "month") -> DataFrame:
-    """``df`` and, for every row, the nearest observed values of ``value`` before and after it in its entity: structs prev_* and next_* (v, t).
+def neighbours(df: DataFrame, entity: str, time: str, order: str, values: list[str], bucket: str = "month") -> DataFrame:
+    """``df`` and, for every row, the nearest observed values before and after it in its entity: structs prev_* and next_* (v, t) of each column.
 
-    Rows are ordered by (time, order); rows without time come last in their entity and see only observed rows before them. ``order`` must be unique.
+    Rows are ordered by (time, order); rows without time come last in their entity and see only observed rows before them. ``order`` must be
+    unique. All columns share the sorts, the summaries and the join.
     """
-    seen = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_t").alias("t")))
+    late = F.lit(9e18)
     base = df.withColumn("_t", seconds(F.col(time))).withColumn("_b", F.coalesce(F.date_trunc(bucket, F.col(time).cast("timestamp")), F.lit("9999-12-31").cast("timestamp")))
-    key = F.struct(F.coalesce("_t", F.lit(9e18)).alias("t"), F.col(order).alias("o"))
-    found = base.filter(F.col(value).isNotNull() & F.col("_t").isNotNull()).groupBy(entity, "_b").agg(F.max(F.struct(key.alias("k"), F.col(value).alias("v"))).alias("last"), F.min(F.struct(key.alias("k"), F.col(value).alias("v"))).alias("first"))
-    w = W.partitionBy(entity).orderBy("_b")
+    key = F.struct(F.coalesce("_t", late).alias("t"), F.col(order).alias("o"))
+    observed = lambda c: F.when(F.col(c).isNotNull() & F.col("_t").isNotNull(), F.struct(key.alias("k"), F.col(c).alias("v")))
     # every bucket that has rows needs its neighbours, also one without an observed value
-    buckets = base.select(entity, "_b").distinct().join(found.hint("merge"), [entity, "_b"], "left")
-    around = buckets.select(
-        entity, "_b",
-        F.last("last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_in"),
-        F.first("first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_out"),
+    found = base.groupBy(entity, "_b").agg(*(f(observed(c)).alias(f"{n}_{c}") for c in values for f, n in ((F.max, "last"), (F.min, "first"))))
+    w = W.partitionBy(entity).orderBy("_b")
+    around = found.select(
+        entity, "_b", *(F.last(f"last_{c}", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias(f"_in_{c}") for c in values),
+        *(F.first(f"first_{c}", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias(f"_out_{c}") for c in values),
+    )
+    inner = W.partitionBy(entity, "_b").orderBy(F.coalesce("_t", late), order)
+    seen = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_t").alias("t")))
+    rows = base.select(
+        *base.columns, *(F.last(seen(c), ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, -1)).alias(f"_p_{c}") for c in values),
+        *(F.first(seen(c), ignorenulls=True).over(inner.rowsBetween(1, W.unboundedFollowing)).alias(f"_n_{c}") for c in values),
     )
-    inner = W.partitionBy(entity, "_b").orderBy(F.coalesce("_t", F.lit(9e18)), order)
-    rows = base.withColumn("_p", F.last(seen, ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, -1))).withColumn("_n", F.first(seen, ignorenulls=True).over(inner.rowsBetween(1, W.unboundedFollowing)))
     rows = rows.join(around.hint("merge"), [entity, "_b"], "left")
     outer = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.v").alias("v"), F.col(f"{c}.k.t").alias("t")))
-    return rows.withColumn(f"prev_{value}", F.coalesce("_p", outer("_in"))).withColumn(f"next_{value}", F.coalesce("_n", outer("_out"))).drop("_p", "_n", "_in", "_out", "_b")
+    kept = [c for c in df.columns if c != "_t"]
+    return rows.select(*kept, "_t", *(F.coalesce(f"_p_{c}", outer(f"_in_{c}")).alias(f"prev_{c}") for c in values), *(F.coalesce(f"_n_{c}", outer(f"_out_{c}")).alias(f"next_{c}") for c in values))
 
 
 def fill_over_time(df: DataFrame, entity: str, time: str, order: str, numeric: list[str], categories: list[str], max_gap_days: float | None = None) -> DataFrame:
@@ -51,12 +54,11 @@ def fill_over_time(df: DataFrame, entity: str, time: str, order: str, numeric: l
     ``max_gap_days`` a value stays null. Observed values have method 'observado', unfilled nulls method null. Null entities are never filled
     from each other. Empty input gives an empty result; numeric results are doubles.
     """
-    out = df
-    for at, c in enumerate([*numeric, *categories]):
-        if at:
-            out = cut(out)  # small plans: the windows of several columns in one plan are planned again at each of its many stages
+    columns = [*numeric, *categories]
+    out = neighbours(df, entity, time, order, columns)
+    made = []
+    for c in columns:
         alone = F.col(entity).isNull()
-        out = neighbours(out, entity, time, order, c)
         p, n, t = F.when(~alone, F.col(f"prev_{c}")), F.when(~alone, F.col(f"next_{c}")), F.col("_t")
         dp, dn = (t - p["t"]) / DAY, (n["t"] - t) / DAY
         ok_p = p.isNotNull() & (F.lit(True) if max_gap_days is None else F.coalesce(dp <= max_gap_days, F.lit(False)))
@@ -72,8 +74,8 @@ def fill_over_time(df: DataFrame, entity: str, time: str, order: str, numeric: l
             value, method, own = F.when(before, p["v"]).when(ok_n, n["v"]), F.when(before, "arrastre").when(ok_n, "retroceso"), F.col(c)
         dist = F.when(ok_p & ok_n, F.least(dp, dn)).when(ok_p, dp).when(ok_n, dn)
         known = F.col(c).isNotNull()
-        out = out.select(*[x for x in out.columns if x not in (c, f"prev_{c}", f"next_{c}", "_t")], F.when(known, own).otherwise(value).alias(c), F.when(known, "observado").otherwise(method).alias(f"{c}_metodo"), F.when(known, F.lit(0.0)).otherwise(dist).alias(f"{c}_distancia"))
-    return out
+        made += [F.when(known, own).otherwise(value).alias(c), F.when(known, "observado").otherwise(method).alias(f"{c}_metodo"), F.when(known, F.lit(0.0)).otherwise(dist).alias(f"{c}_distancia")]
+    return out.select(*(x for x in df.columns if x not in (*columns, "_t")), *made)
 
 
 def consensus(df: DataFrame, group: str, value: str) -> DataFrame:

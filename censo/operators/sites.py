@@ -91,15 +91,20 @@ def place_links(rows: DataFrame, node: str) -> DataFrame:
 
     Groups of one key are linked as stars, so no group is expanded into pairs. Rows without name or place have no link.
     """
-    named = rows.filter("p_nombrado").select(node, name_text().alias("_t"), F.col("p_familia").alias("_f"), "p_cp", place_keys().alias("_p"))
-    keyed = named.select(node, "_f", "p_cp", F.explode("_p").alias("_p"), "_t").select(node, F.explode_outer(deletions(F.col("_t"))).alias("_d"), "_f", "_p", "p_cp")
+    parts = ["_t", "_f", "p_ciudad", "p_cp"]
+    named = rows.filter("p_nombrado").select(node, name_text().alias("_t"), F.col("p_familia").alias("_f"), "p_ciudad", "p_cp")
+    # rows that agree in all that is compared are one spelling, tied to its smallest row
+    spelled = cut(named.groupBy(*parts).agg(F.min(node).alias("s")))
+    copies = named.join(spelled.hint("merge"), on=[named[p].eqNullSafe(spelled[p]) for p in parts]).filter(F.col(node) != F.col("s")).select(F.col(node).alias("a"), F.col("s").alias("b"))
+    forms = spelled.select("_t").distinct().select("_t", F.explode_outer(deletions(F.col("_t"))).alias("_d"))
+    keyed = spelled.select("s", "_t", "_f", "p_cp", F.explode(place_keys()).alias("_p")).join(forms.hint("merge"), "_t").select("s", "_d", "_f", "_p", "p_cp")
     # inside a town, codes that are no slip of each other are different sites: a row meets the rows of its own code as well
     code = F.explode(F.when(F.col("p_cp").isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col("p_cp"))))
-    full = keyed.withColumn("_c", code).select(node, F.xxhash64("_d", "_f", "_p", "_c").alias("k"))
-    links = star_links(full, "k", node).unionByName(near_code_links(keyed.withColumn("k", F.xxhash64("_d", "_f", "_p")), node)).distinct()
-    side = lambda x: rows.select(F.col(node).alias(x), F.col("p_cp").alias(f"c{x}"), name_text().alias(f"t{x}"))
-    a, b = side("a"), side("b")
-    return links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(compatible_code(F.col("ca"), F.col("cb")) & long_alike(F.col("ta"), F.col("tb"))).select("a", "b")
+    full = keyed.withColumn("_c", code).select("s", F.xxhash64("_d", "_f", "_p", "_c").alias("k"))
+    links = cut(star_links(full, "k", "s").unionByName(near_code_links(keyed.withColumn("k", F.xxhash64("_d", "_f", "_p")), "s")).distinct())
+    side = lambda x: spelled.select(F.col("s").alias(x), F.col("p_cp").alias(f"c{x}"), F.col("_t").alias(f"t{x}"))
+    near = links.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(compatible_code(F.col("ca"), F.col("cb")) & long_alike(F.col("ta"), F.col("tb"))).select("a", "b")
+    return copies.unionByName(near)
 
 
 def settle(rows: DataFrame, links: DataFrame, node: str, when: str) -> DataFrame:

@@ -10,8 +10,8 @@ from censo.operators.filling import consensus, fill_over_time
 from censo.operators.sites import mend_towns, place_links, settle
 from censo.session import cut, table
 
-#: Longest time over which a site's place is carried; a place does not age, so two decades.
-MAX_GAP_DAYS = 366.0 * 20
+#: Longest time over which the place of a site (or of a town, prefix or province) is carried.
+MAX_GAP_DAYS = 1826.0
 
 
 def sited_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,47 +27,71 @@ def display(rows: DataFrame, key: str, text: str) -> DataFrame:
     return consensus(rows.filter(F.col(key) != "").select(key, F.trim(text).alias(text)), key, text).select(key, text)
 
 
-def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every missing provincia, ccaa and cod_postal with what could be found: (center_id, campo, valor, metodo, distancia)."""
-    empty_as_null = lambda c: F.when(F.col(c) != "", F.col(c))
-    rows = sited_centres(spark, sf_dir).select(
-        "center_id", "site", "actualizado_en", "p_ciudad", "p_extranjero", "provincia", "ccaa", empty_as_null("p_provincia").alias("prov"), empty_as_null("p_ccaa").alias("region"), F.col("p_cp").alias("cp")
-    )
-    rows = cut(rows)
-    # along time within the site: nearest observed neighbour, method and distance
-    filled = cut(fill_over_time(rows.select("center_id", "site", "actualizado_en", "prov", "region", "cp"), "site", "actualizado_en", "center_id", [], ["prov", "region", "cp"], MAX_GAP_DAYS))
-    # what similar rows settle: votes of the site, of the code's prefix and of the town
+def targets(rows: DataFrame) -> DataFrame:
+    """``rows`` with what may be carried to and within their site: t_prov, t_region and t_cp, and the sources ``de_prov``, ``de_cp`` beyond the site.
+
+    A site's province is the one most of its rows, the prefixes of their codes and their town speak for; its region the one most rows of that
+    province have. A code needs more than half of the site's rows with one, or, if there are none, all rows of the town with one: a row that
+    lacks the code is not among them, so all are others.
+    """
     pre = rows.withColumn("pre", F.substring("cp", 1, 2))
     by_pre = consensus(pre, "pre", "prov").select("pre", F.col("prov").alias("v"))
-    by_town = consensus(rows.withColumn("ciudad", empty_as_null("p_ciudad")), "ciudad", "prov").select("ciudad", F.col("prov").alias("v"))
+    by_town = consensus(rows, "ciudad", "prov").select("ciudad", F.col("prov").alias("v"))
     region_of = consensus(rows, "prov", "region").select("prov", F.col("region").alias("region_of"))
-    site_votes = rows.filter("prov IS NOT NULL").groupBy("site", F.col("prov").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    site_votes = rows.filter("prov IS NOT NULL").groupBy("site", F.col("prov").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"), F.lit(None).cast("string").alias("de"))
     pre_votes = pre.join(F.broadcast(by_pre), "pre")  # a postcode has at most 52 prefixes
-    pre_votes = pre_votes.groupBy("site", "v").agg((F.count(F.lit(1)) * 1.25).alias("w"))
-    town_votes = rows.filter("p_ciudad <> ''").select("site", F.col("p_ciudad").alias("ciudad")).distinct().join(by_town.hint("merge"), "ciudad").groupBy("site", "v").agg(F.lit(1.1).alias("w"))
-    votes = site_votes.unionByName(pre_votes).unionByName(town_votes).groupBy("site", "v").agg(F.sum("w").alias("w"))
-    settled = cut(votes.groupBy("site").agg(F.max_by("v", F.struct("w", "v")).alias("settled")))
-    from_region = consensus(rows, "site", "region").select("site", F.col("region").alias("site_region"))
-    # only a code can be wrong for its site, so a site without any province keeps its rows' region
-    whole = filled.join(rows.select("center_id", "p_ciudad", "p_extranjero", F.col("prov").alias("own_prov"), F.col("region").alias("own_region"), F.col("cp").alias("own_cp")).hint("merge"), "center_id")
-    whole = whole.join(settled.hint("merge"), "site", "left").join(region_of.select(F.col("prov").alias("settled"), "region_of"), "settled", "left").join(from_region.hint("merge"), "site", "left")
-    whole = cut(whole)
-    prov_names, region_names = display(rows, "prov", "provincia"), display(rows, "region", "ccaa")
-    method = lambda c, v: F.when(F.col(c) == v, F.col(f"{c}_metodo")).otherwise(F.lit("acuerdo"))
-    dist = lambda c, v: F.when(F.col(c) == v, F.col(f"{c}_distancia"))
-    at_home = whole.filter(~F.coalesce("p_extranjero", F.lit(False)))
-    provs = at_home.filter("own_prov IS NULL AND settled IS NOT NULL").select("center_id", F.col("settled").alias("prov"), method("prov", F.col("settled")).alias("metodo"), dist("prov", F.col("settled")).alias("distancia"))
-    provs = provs.join(prov_names, "prov").select("center_id", F.lit("provincia").alias("campo"), F.col("provincia").alias("valor"), "metodo", "distancia")
-    region = F.coalesce("region_of", "site_region")
-    regions = at_home.filter(F.col("own_region").isNull() & region.isNotNull()).select("center_id", region.alias("r"), method("region", region).alias("metodo"), dist("region", region).alias("distancia"))
-    regions = regions.withColumnRenamed("r", "region").join(region_names, "region").select("center_id", F.lit("ccaa").alias("campo"), F.col("ccaa").alias("valor"), "metodo", "distancia")
-    # codes: more than half of the site's other rows, else all of the town's other rows; the row itself carries none, so all rows with one are others
+    pre_votes = pre_votes.groupBy("site", "v").agg((F.count(F.lit(1)) * 1.25).alias("w"), F.concat(F.lit("c:"), F.min("pre")).alias("de"))
+    town_votes = rows.filter("ciudad IS NOT NULL").select("site", "ciudad").distinct().join(by_town.hint("merge"), "ciudad").groupBy("site", "v").agg(F.lit(1.1).alias("w"), F.concat(F.lit("t:"), F.min("ciudad")).alias("de"))
+    votes = site_votes.unionByName(pre_votes).unionByName(town_votes).groupBy("site", "v").agg(F.sum("w").alias("w"), F.max("de").alias("de"))
+    settled = votes.groupBy("site").agg(F.max(F.struct("w", "v", "de")).alias("x")).select("site", F.col("x.v").alias("t_prov"), F.col("x.de").alias("de_prov"))
+    settled = settled.join(region_of.select(F.col("prov").alias("t_prov"), "region_of"), "t_prov", "left")
+    site_region = consensus(rows, "site", "region").select("site", F.col("region").alias("site_region"))
     site_code = consensus(rows, "site", "cp").select("site", F.col("cp").alias("code"), F.col("n").alias("n"), F.col("of").alias("of"))
-    town_code = rows.filter("p_ciudad <> '' AND cp IS NOT NULL").groupBy("p_ciudad").agg(F.min("cp").alias("lo"), F.max("cp").alias("hi"))
-    codes = whole.filter("own_cp IS NULL AND NOT coalesce(p_extranjero, false)").join(site_code.hint("merge"), "site", "left").join(town_code.hint("merge"), "p_ciudad", "left")
-    value = F.when(F.col("of").isNotNull(), F.when(F.col("n") * 2 > F.col("of"), F.col("code"))).otherwise(F.when(F.col("lo") == F.col("hi"), F.col("lo")))
-    codes = codes.select("center_id", F.lit("cod_postal").alias("campo"), value.alias("valor"), method("cp", value).alias("metodo"), dist("cp", value).alias("distancia")).filter("valor IS NOT NULL")
-    return provs.unionByName(regions).unionByName(codes)
+    of_site = cut(settled.join(site_region, "site", "full").join(site_code, "site", "full"))
+    town_code = rows.filter("ciudad IS NOT NULL AND cp IS NOT NULL").groupBy("ciudad").agg(F.min("cp").alias("lo"), F.max("cp").alias("hi"))
+    out = rows.join(of_site.hint("merge"), "site", "left").join(town_code.hint("merge"), "ciudad", "left")
+    code = F.when(F.col("of").isNotNull(), F.when(F.col("n") * 2 > F.col("of"), F.col("code"))).otherwise(F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+    return out.select(*rows.columns, "t_prov", "de_prov", F.coalesce("region_of", "site_region").alias("t_region"), code.alias("t_cp"))
+
+
+def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every missing provincia, ccaa and cod_postal with what could be found: (center_id, campo, valor, metodo, distancia).
+
+    Values are carried along time, from the nearest row (at most MAX_GAP_DAYS away) of the same site that says what the site's rows agree on;
+    where the site has none, of the same town, postcode prefix or province. What is agreed on but further away in time has metodo 'acuerdo' and
+    no distance.
+    """
+    empty_as_null = lambda c: F.when(F.col(c) != "", F.col(c))
+    rows = cut(sited_centres(spark, sf_dir).select(
+        "center_id", "site", "actualizado_en", empty_as_null("p_ciudad").alias("ciudad"), F.coalesce("p_extranjero", F.lit(False)).alias("fuera"), "provincia", "ccaa", empty_as_null("p_provincia").alias("prov"), empty_as_null("p_ccaa").alias("region"), F.col("p_cp").alias("cp")
+    ))
+    whole = cut(targets(rows))
+    fields = {"provincia": "prov", "ccaa": "region", "cod_postal": "cp"}
+    # only rows that say what is agreed on are carried
+    said = whole.select("center_id", "site", "actualizado_en", *(F.when(F.col(c) == F.col(f"t_{c}"), F.col(c)).alias(c) for c in fields.values()))
+    filled = fill_over_time(said, "site", "actualizado_en", "center_id", [], list(fields.values()), MAX_GAP_DAYS)
+    missing = whole.filter("NOT fuera AND (prov IS NULL OR region IS NULL OR cp IS NULL)").select("center_id", "ciudad", "t_prov", "de_prov", "t_region", "t_cp", *(F.col(c).isNull().alias(f"sin_{c}") for c in fields.values()))
+    beyond = {"prov": F.col("de_prov"), "region": F.concat(F.lit("p:"), "t_prov"), "cp": F.concat(F.lit("t:"), "ciudad")}
+    one = lambda campo, c: F.when(F.col(f"sin_{c}") & F.col(f"t_{c}").isNotNull(), F.struct(F.lit(campo).alias("campo"), F.col(f"t_{c}").alias("meta"), F.col(c).alias("valor"), F.col(f"{c}_metodo").alias("metodo"), F.col(f"{c}_distancia").alias("distancia"), F.concat(F.lit(f"{campo}|"), beyond[c]).alias("de")))
+    wanted = filled.drop("site").join(missing.hint("merge"), "center_id").select("center_id", "actualizado_en", F.explode(F.array_compact(F.array(*(one(k, c) for k, c in fields.items())))).alias("x")).select("center_id", "actualizado_en", "x.*")
+    wanted = cut(wanted)
+    in_site = wanted.filter("valor IS NOT NULL").select("center_id", "campo", "valor", "metodo", "distancia")
+    open_ = wanted.filter("valor IS NULL")
+    # what the site cannot give comes from rows of its town, prefix or province
+    give = lambda campo, of, c: F.when(F.col(c).isNotNull() & of.isNotNull(), F.struct(F.concat(F.lit(f"{campo}|"), of).alias("de"), F.col(c).alias("v")))
+    town, prefix = F.concat(F.lit("t:"), "ciudad"), F.concat(F.lit("c:"), F.substring("cp", 1, 2))
+    given = whole.select("center_id", "actualizado_en", F.explode(F.array_compact(F.array(give("provincia", town, "prov"), give("provincia", prefix, "prov"), give("ccaa", F.concat(F.lit("p:"), "prov"), "region"), give("cod_postal", town, "cp")))).alias("x")).select("center_id", "actualizado_en", "x.*")
+    asked = open_.filter("de IS NOT NULL").groupBy("de").agg(F.min("meta").alias("meta"), F.max("meta").alias("meta_hi"))
+    given = given.join(asked.hint("merge"), "de").filter("v = meta OR v = meta_hi").select("center_id", "actualizado_en", "de", "v")
+    both = open_.select("center_id", "actualizado_en", "de", F.lit(None).cast("string").alias("v"), "campo", "meta").unionByName(given.withColumn("campo", F.lit(None).cast("string")).withColumn("meta", F.lit(None).cast("string")))
+    far = fill_over_time(both, "de", "actualizado_en", "center_id", [], ["v"], MAX_GAP_DAYS).filter("campo IS NOT NULL")
+    agreed = F.coalesce(F.col("v") == F.col("meta"), F.lit(False))
+    elsewhere = far.select("center_id", "campo", F.col("meta").alias("valor"), F.when(agreed, F.col("v_metodo")).otherwise(F.lit("acuerdo")).alias("metodo"), F.when(agreed, F.col("v_distancia")).alias("distancia"))
+    found = cut(in_site.unionByName(elsewhere))
+    names = display(rows, "prov", "provincia").select(F.lit("provincia").alias("campo"), F.col("prov").alias("valor"), F.col("provincia").alias("texto"))
+    names = names.unionByName(display(rows, "region", "ccaa").select(F.lit("ccaa").alias("campo"), F.col("region").alias("valor"), F.col("ccaa").alias("texto")))
+    named = found.filter("campo <> 'cod_postal'").join(names.hint("merge"), ["campo", "valor"]).select("center_id", "campo", F.col("texto").alias("valor"), "metodo", "distancia")
+    return named.unionByName(found.filter("campo = 'cod_postal'").select("center_id", "campo", "valor", "metodo", "distancia"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
