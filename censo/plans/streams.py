@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censo.plans.registry import Registry
-from censo.session import table
+from censo.session import local_folder, table
 from censo.streaming.ingest import windowed_counts
 
 query = Registry()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="censo-stream-")
+    """A new folder under the cluster's shared checkpoint folder; a temporary one where that is unset on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark, "censo-stream-")
     return f"{base}/{uuid.uuid4().hex}"
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
@@ -48,12 +47,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """Use the shared folder of spark.checkpoint.dir; where it is unset, a temporary one on a local master, and an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="censo-checkpoint-"))
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark, "censo-checkpoint-"))
+
+
+def local_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder of this machine, which only a local master shares with all its tasks."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+    return tempfile.mkdtemp(prefix=prefix)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,12 +70,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle, broadcast and checkpoint files of finished steps now: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def at_least_partitions(df: DataFrame) -> DataFrame:
     """``df`` itself where its scan already has a few splits for every core, else spread over all cores.
 
