@@ -36,6 +36,8 @@ EPOCHS, LAMBDA, SEED = 6, 1e-4, 7
 SWITCH = 2.2
 SHARPNESS = 7.0
 LEAST_WORDS = 5
+#: Characters whose sentences are scored at a time.
+CHUNK = 500_000
 
 # Notations of the eight languages.
 NOTATIONS = {
@@ -215,16 +217,48 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> list[int]:
 
 
 def segments(model: Discriminator, text: str | None) -> list[tuple[str, float, int]]:
-    """(language, confidence, sentences) of a text's segments in order; [] for texts of fewer than LEAST_WORDS words.
+    """(language, confidence, sentences) of a text's segments in order; [] for texts of fewer than LEAST_WORDS words."""
+    return segments_of(model, [text])[0]
+
+
+def segments_of(model: Discriminator, texts: list[str | None]) -> list[list[tuple[str, float, int]]]:
+    """The segments of each text; the sentences of all texts are scored together, some CHUNK characters at a time."""
+    out: list[list[tuple[str, float, int]]] = []
+    waiting: list[list[str]] = []
+
+    def flush() -> None:
+        parts = [p for ps in waiting for p in ps]
+        scores = model.scores(parts) * np.minimum(1.0, np.array([len(p) for p in parts]) / 60.0)[:, None] if parts else np.zeros((0, 0))
+        at = 0
+        for ps in waiting:
+            out.append(_runs(model, scores[at : at + len(ps)]) if ps else [])
+            at += len(ps)
+        waiting.clear()
+
+    n = 0
+    for t in texts:
+        ps = sentences(t) if model.languages else []
+        words = 0
+        for p in ps:
+            words += len(WORDS.findall(p)) if words < LEAST_WORDS else 0
+        waiting.append(ps if words >= LEAST_WORDS else [])
+        n += len(t or "")
+        if n >= CHUNK:
+            flush()
+            n = 0
+    flush()
+    return out
+
+
+def _runs(model: Discriminator, scores: np.ndarray) -> list[tuple[str, float, int]]:
+    """Segments from the scores of a text's sentences.
 
     Runs of one sentence between others are no segments: they are left out, and the runs around them, if of one language, are one. A text of
     one language, or without any run of two, is a single segment.
     """
-    parts = sentences(text)
-    if sum(len(WORDS.findall(p)) for p in parts) < LEAST_WORDS or not model.languages:
-        return []
-    scores = model.scores(parts) * np.array([min(1.0, len(p) / 60.0) for p in parts])[:, None]
-    path = viterbi(scores)
+    best = scores.argmax(axis=1)
+    # where every sentence says the same, no path can be better
+    path = [int(best[0])] * len(best) if (best == best[0]).all() else viterbi(scores)
     runs: list[list[int]] = []
     for i, x in enumerate(path):
         if runs and path[runs[-1][0]] == x:
@@ -240,8 +274,8 @@ def segments(model: Discriminator, text: str | None) -> list[tuple[str, float, i
     if len({path[r[0]] for r in kept}) < 2:
         total = scores.sum(axis=0)
         x = path[kept[0][0]] if kept else int(np.argmax(total))
-        kept = [[i for i in range(len(parts)) if path[i] == x] or list(range(len(parts)))]
-        path = [x] * len(parts)
+        kept = [[i for i in range(len(path)) if path[i] == x] or list(range(len(path)))]
+        path = [x] * len(path)
     out = []
     for r in kept:
         p = _log_softmax(scores[r].sum(axis=0))
@@ -295,8 +329,8 @@ def identify(documents: DataFrame, model: Discriminator, doc_id: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             cols: list[list] = [[] for _ in OUT.names]
-            for d, t, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                found = segments(model, t)
+            texts = part.column(1).to_pylist()
+            for d, found, label in zip(part.column(0).to_pylist(), segments_of(model, texts), part.column(2).to_pylist()):
                 for k, (x, conf, n) in enumerate(found):
                     for c, v in zip(cols, (d, k, x, conf, n, label_code(label), len(found) > 1)):
                         c.append(v)

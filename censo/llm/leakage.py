@@ -31,6 +31,8 @@ BLOCKS, RADIUS = 4, 3
 #: Share of a passage's words that makes a case, in at most two stretches of at least LEAST_STRETCH words; the slips leave some out.
 LEAST_SHARE, LEAST_STRETCH = 0.4, 5
 ITEMS_PER_PASS = 4000
+#: Words whose windows are computed at a time.
+CHUNK = 100_000
 #: Weighted share of a stretch's words and word pairs that the document must repeat exactly.
 LEAST_SIMILAR = 0.62
 #: An opening sentence shared by this many items is an instruction.
@@ -68,25 +70,34 @@ def own_passages(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
     return out
 
 
-def fingerprints(words: list[str], weights: dict[str, float], width: int = WINDOW) -> np.ndarray:
-    """SimHash (uint64) of every window of ``width`` words; a shorter text is one window, an empty one has none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+def fingerprints(texts: list[list[str]], weights: dict[str, float], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(SimHash, text, offset) of every window of ``width`` words of the texts; a shorter text is one window, an empty one has none."""
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for words in texts for w in words], np.int64)
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
     # whole-number weights: sums are exact, so equal windows have equal fingerprints wherever they stand
-    w = np.array([round(weights.get(x, 2.0) * 16) for x in words], np.int32)[:, None]
-    total = np.zeros((len(words) + 1, 64), np.int32)
-    np.cumsum(np.where(bits, w, -w), axis=0, out=total[1:])
-    n = max(len(words) - width + 1, 1)
-    width = min(width, len(words))
-    return np.packbits(total[width : width + n] > total[:n], axis=1).view(np.uint64).reshape(-1)
+    kind = np.int16 if width * max([2.0, *weights.values()]) * 16 < 32_000 else np.int32  # differences are exact though running sums wrap
+    w = np.array([round(weights.get(x, 2.0) * 16) for x in number], kind)[:, None]
+    signed = np.where(bits, w, -w)
+    total = np.zeros((len(at) + 1, 64), kind)
+    np.cumsum(signed[at], axis=0, out=total[1:], dtype=kind)
+    size = np.array([len(words) for words in texts], np.int64)
+    begin = np.cumsum(size) - size
+    windows = np.where(size > 0, np.maximum(size - width + 1, 1), 0)
+    text = np.repeat(np.arange(len(texts)), windows)
+    offset = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = begin[text] + offset
+    prints = np.packbits((total[start + np.minimum(width, size[text])] - total[start]) > 0, axis=1).view(np.uint64).reshape(-1)
+    return prints, text, offset
 
 
 class Index:
     """Multi-index over the fingerprints of a block of items."""
 
-    def __init__(self, passages: dict[int, list[str]]) -> None:
+    def __init__(self, passages: dict[int, list[str]], width: int = WINDOW) -> None:
         df = Counter(w for p in passages.values() for w in set(p))
         n = max(len(passages), 1)
         self.weights = {w: float(0.3 + np.log((n + 1) / c) / np.log(n + 1) * 2.0) for w, c in df.items()}
@@ -94,7 +105,7 @@ class Index:
         prints, owner, offset = [], [], []
         for i, p in passages.items():
             # a passage that repeats itself is entered once for each different window: the stretches grow from there
-            f, first = np.unique(fingerprints(p, self.weights), return_index=True)
+            f, first = np.unique(fingerprints([p], self.weights, width)[0], return_index=True)
             prints.append(f)
             owner.append(np.full(len(f), i, np.int64))
             offset.append(first.astype(np.int32))
@@ -113,9 +124,8 @@ class Index:
         return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window of the document, window of the items) of all pairs within the radius; of equal windows of the document, the first."""
-        prints, first = np.unique(prints, return_index=True)
-        docs, found = [], []
+        """(place in ``prints``, window of the items) of all pairs within the radius."""
+        places, found = [], []
         for b in range(BLOCKS):
             v = self._block(prints, b)
             lo, hi = self.start[b][v], self.start[b][v + 1]
@@ -126,11 +136,11 @@ class Index:
             within = np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size)
             x = self.order[b][np.repeat(lo, size) + within]
             near = np.bitwise_count(prints[d] ^ self.prints[x]) <= RADIUS
-            docs.append(d[near])
+            places.append(d[near])
             found.append(x[near])
-        if not docs:
+        if not places:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        return first[np.concatenate(docs)], np.concatenate(found)
+        return np.concatenate(places), np.concatenate(found)
 
 
 def like(a: str, b: str) -> bool:
@@ -206,6 +216,34 @@ def covered(p: list[str], d: list[str], seeds: list[tuple[int, int]], weights: d
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cubre", T.DoubleType())])
 
 
+def _chunks(part: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """The documents of a batch, some CHUNK words at a time."""
+    ids, texts, n = [], [], 0
+    for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+        ids.append(i)
+        texts.append(words_of(t))
+        n += len(texts[-1])
+        if n >= CHUNK:
+            yield ids, texts
+            ids, texts, n = [], [], 0
+    yield ids, texts
+
+
+def _leaks_of(texts: list[list[str]], index: Index, least: float) -> Iterator[tuple[int, int, float]]:
+    """(text, item, share) of all texts that hold at least ``least`` of an item's passage."""
+    prints, text, offset = fingerprints(texts, index.weights)
+    at, window = index.search(prints)
+    if not len(at):
+        return
+    hits = np.unique(np.stack([text[at], index.owner[window], index.offset[window], offset[at]], axis=1), axis=0)
+    begins = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(axis=1)])
+    for rows in np.split(hits, begins[1:]):
+        t, item = int(rows[0, 0]), int(rows[0, 1])
+        share = covered(index.passages[item], texts[t], [(i, j) for i, j in rows[:, 2:].tolist()], index.weights)
+        if share >= least:
+            yield t, item, share
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, item_id, cubre) for every document that holds at least ``least`` of an item's own passage; cubre is the share.
 
@@ -225,22 +263,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             index = Index(block)
             for part in batches:
                 rows: tuple[list, list, list] = ([], [], [])
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = words_of(t)
-                    prints = fingerprints(words, index.weights)
-                    at, found = index.search(prints)
-                    if not len(at):
-                        continue
-                    owner = index.owner[found]
-                    for item in np.unique(owner):
-                        mine = owner == item
-                        p = index.passages[int(item)]
-                        seeds = sorted(set(zip(index.offset[found[mine]].tolist(), at[mine].tolist())))
-                        share = covered(p, words, seeds, index.weights)
-                        if share >= least:
-                            rows[0].append(d)
-                            rows[1].append(int(item))
-                            rows[2].append(share)
+                for ids, texts in _chunks(part):
+                    for at, item, share in _leaks_of(texts, index, least):
+                        for column, v in zip(rows, (ids[at], item, share)):
+                            column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], OUT.names)
 
         found = docs.mapInArrow(run, OUT)
