@@ -5,8 +5,8 @@ Item passages are cut into windows the size of the shortest stretch that counts,
 Hamming distance 3 agree in at least one block, so all pairs within the radius are found. Each candidate pair is then verified exactly by
 growing the stretches around its windows and measuring the share of the passage's words they cover.
 
-The items are a stated query set: they are held in blocks of bounded size and every document is read against each block. Documents are
-processed in a narrow stage, without shuffle.
+The items are a stated query set: they are held in blocks of bounded size and every document is read against each block, in a narrow stage
+(small tables are spread over all cores first).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from censo.functions.places import damerau, fold
-from censo.session import at_least_partitions, table
+from censo.session import at_least_partitions, cut, table
 
 #: Words in a window: a stretch of a fifth of the shortest usual passage.
 WINDOW = 7
@@ -53,9 +53,13 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.?!;])\s+", text) if s.strip()]
 
 
+def without_answers(text: str | None) -> str:
+    return re.split(r"(?:^|\s)A\)\s", text or "", maxsplit=1)[0]
+
+
 def own_passages(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
     """The words of each item's own passage: without lettered answers at its end and opening sentences that other items share."""
-    cut_answers = {i: re.split(r"(?:^|\s)A\)\s", t or "", maxsplit=1)[0] for i, t in items}
+    cut_answers = {i: without_answers(t) for i, t in items}
     opening = Counter()
     for t in cut_answers.values():
         first = sentences(t)[:1]
@@ -97,10 +101,12 @@ def fingerprints(texts: list[list[str]], weights: dict[str, float], width: int =
 class Index:
     """Multi-index over the fingerprints of a block of items."""
 
-    def __init__(self, passages: dict[int, list[str]], width: int = WINDOW) -> None:
-        df = Counter(w for p in passages.values() for w in set(p))
-        n = max(len(passages), 1)
-        self.weights = {w: float(0.3 + np.log((n + 1) / c) / np.log(n + 1) * 2.0) for w, c in df.items()}
+    def __init__(self, passages: dict[int, list[str]], width: int = WINDOW, counts: dict[str, int] | None = None, n: int = 0) -> None:
+        """``counts``: in how many of all ``n`` passages each word stands; by default those of ``passages``."""
+        if counts is None:
+            counts, n = Counter(w for p in passages.values() for w in set(p)), len(passages)
+        n = max(n, 1)
+        self.weights = {w: float(0.3 + np.log((n + 1) / c) / np.log(n + 1) * 2.0) for w, c in counts.items()}
         self.passages = passages
         prints, owner, offset = [], [], []
         for i, p in passages.items():
@@ -216,6 +222,26 @@ def covered(p: list[str], d: list[str], seeds: list[tuple[int, int]], weights: d
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("cubre", T.DoubleType())])
 
 
+def passages_of(items: DataFrame) -> DataFrame:
+    """(item_id, palabras): the words of each item's own passage (``own_passages``), those of LEAST_STRETCH words and more."""
+    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("frases", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            said = [[" ".join(words_of(x)) for x in sentences(without_answers(t))] for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(said, pa.list_(pa.string()))], ["item_id", "frases"])
+
+    one = items.filter("item_id IS NOT NULL").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.max(F.col("text").cast("string")).alias("text"))
+    parsed = cut(one.mapInArrow(run, schema))
+    shared = parsed.filter(F.size("frases") > 0).groupBy(F.col("frases")[0].alias("f")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED_BY)
+    each = parsed.select("item_id", F.size("frases").alias("of"), F.posexplode("frases").alias("i", "f")).join(shared.hint("merge"), "f", "left")
+    # the last sentence is always the item's own
+    start = each.filter((F.col("n").isNull()) | (F.col("i") == F.col("of") - 1)).groupBy("item_id").agg(F.min("i").alias("i"))
+    rest = parsed.join(start.hint("merge"), "item_id").select("item_id", F.slice("frases", F.col("i") + 1, F.size("frases")).alias("frases"))
+    text = rest.select("item_id", F.array_join("frases", " ").alias("t"))
+    return text.select("item_id", F.filter(F.split("t", " "), lambda w: w != "").alias("palabras")).filter(F.size("palabras") >= LEAST_STRETCH)
+
+
 def _chunks(part: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[str]]]]:
     """The documents of a batch, some CHUNK words at a time."""
     ids, texts, n = [], [], 0
@@ -248,19 +274,25 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, item_id, cubre) for every document that holds at least ``least`` of an item's own passage; cubre is the share.
 
     Null or empty texts and items leak nothing; repeated documents are each reported; repeated rows of one doc_id give repeated results;
-    passages shorter than LEAST_STRETCH words are no cases. ``items``: (item_id, text), read in blocks of ITEMS_PER_PASS.
+    passages shorter than LEAST_STRETCH words are no cases; of an item_id given twice the greater text counts. ``items``: (item_id, text), a query
+    set of some thousand: it is searched in blocks of about ITEMS_PER_PASS, each of which reads the documents once.
     """
     docs = at_least_partitions(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    # which opening sentences are shared is a property of all items; their number is that of the query set
-    every = [(r[0], r[1]) for r in items.select("item_id", "text").filter("item_id IS NOT NULL").orderBy("item_id").toLocalIterator()]
-    passages = {i: p for i, p in own_passages(every).items() if len(p) >= LEAST_STRETCH}
-    ids = sorted(passages)
+    own = cut(passages_of(items))
+    words = F.array_distinct("palabras")
+    counts = cut(own.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    number = own.count()
+    passes = max(1, -(-number // ITEMS_PER_PASS))
     out = None
-    for start in range(0, max(len(ids), 1), ITEMS_PER_PASS):
-        block = {i: passages[i] for i in ids[start : start + ITEMS_PER_PASS]}
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block)
+    for at in range(passes):
+        # one block of the query set at a time comes to the driver, with the counts of its own words
+        mine = own.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == at)
+        block = {r["item_id"]: list(r["palabras"]) for r in mine.orderBy("item_id").collect()}
+        known = mine.select(F.explode(words).alias("w")).distinct().join(counts.hint("merge"), "w")
+        weights = {r["w"]: r["n"] for r in known.collect()}
+
+        def run(batches: Iterator[pa.RecordBatch], block=block, weights=weights) -> Iterator[pa.RecordBatch]:
+            index = Index(block, WINDOW, weights, number)
             for part in batches:
                 rows: tuple[list, list, list] = ([], [], [])
                 for ids, texts in _chunks(part):

@@ -3,12 +3,13 @@
 Sizes are tokens of a public tokenizer. Items are spread by hash over partitions of bounded size; each partition is packed by best-fit
 decreasing and its number of containers is compared with a lower bound from dual feasible functions. Partitions that meet their bound are
 certified and done. The others give the contents of their containers with empty space to a common exchange, where the items of several
-partitions are packed together; an exchange that saves nothing leaves the former packing in place.
+partitions are packed together; an exchange that saves nothing leaves the former packing in place, and exchanges go on while any saves one.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -21,13 +22,14 @@ from pyspark.sql import types as T
 
 from censo.session import at_least_partitions, cut, table
 
-#: Where the public tokenizer's ranks lie on every node.
+#: The public tokenizer's ranks: a path every node can read, or the name of a file sent with ``SparkContext.addFile``; the session's setting
+#: ``spark.censo.tokenizer`` comes before it.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the splitting pattern that goes with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ITEMS_PER_PARTITION = 4000
-#: Partitions whose leftovers are packed together, and rounds of exchange.
-MERGE, ROUNDS = 8, 2
+#: So many partitions' worth of items is packed together in an exchange.
+MERGE = 8
 
 _encodings: dict[str, object] = {}
 
@@ -36,8 +38,9 @@ def encoding(path: str = TOKENIZER):
     """The tokenizer of a ranks file, loaded once per process."""
     if path not in _encodings:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path] = tiktoken.Encoding("censo", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
@@ -160,25 +163,29 @@ def pack(counted: DataFrame, capacities: list[tuple[int, int]], per_partition: i
         of = F.when(F.col("container_id") == cid, F.lit(p)).otherwise(of)
     grouped = rest.withColumn("grupo", F.concat(F.lit("0-"), F.pmod(F.xxhash64("doc_id", "pieza"), of).cast("string")))
     packed = cut(pack_groups(grouped))
-    done = None
-    for round_ in range(1, ROUNDS + 1):
-        # certified partitions and full containers stay; the others' open containers are exchanged
+    done, round_ = None, 0
+    while True:
+        round_ += 1
+        # certified partitions and full containers stay; the others' open containers are exchanged, in pools of bounded size
         fill = packed.groupBy("container_id", "grupo", "caja").agg(F.sum("tokens").alias("lleno"))
         marked = packed.join(fill.hint("merge"), ["container_id", "grupo", "caja"])
-        gap = F.col("cajas") > F.col("cota")
-        stays = cut(marked.filter(~gap | (F.col("lleno") >= F.col("max_tokens"))).drop("lleno"))
-        opened = marked.filter(gap & (F.col("lleno") < F.col("max_tokens"))).drop("lleno")
-        pool = F.pmod(F.xxhash64("grupo", F.lit(round_)), F.greatest((of / F.lit(MERGE ** round_)).cast("int"), F.lit(1)))
-        opened = cut(opened.withColumn("_g", F.concat(F.lit(f"{round_}-"), pool.cast("string"))))
+        stay = (F.col("cajas") <= F.col("cota")) | (F.col("lleno") >= F.col("max_tokens"))
+        marked = cut(marked.withColumn("queda", stay).drop("lleno"))
+        stays, opened = marked.filter("queda").drop("queda"), marked.filter("NOT queda").drop("queda")
+        done = stays if done is None else done.unionByName(stays)
+        sizes = opened.groupBy("container_id").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per container kind
+        if not sizes:
+            break
+        pools = F.lit(1)
+        for r in sizes:
+            pools = F.when(F.col("container_id") == r["container_id"], F.lit(-(-r["n"] // (MERGE * per_partition)))).otherwise(pools)
+        opened = opened.withColumn("_g", F.concat(F.lit(f"{round_}-"), F.pmod(F.xxhash64("grupo", F.lit(round_)), pools).cast("string")))
         new = cut(pack_groups(opened.select("container_id", "max_tokens", "doc_id", "pieza", "inicio", "tokens", F.col("_g").alias("grupo"))))
         before = opened.select("container_id", "_g", "grupo", "caja").distinct().groupBy("container_id", F.col("_g").alias("grupo")).agg(F.count(F.lit(1)).alias("antes"))
         gain = cut(new.select("container_id", "grupo", "cajas").distinct().join(before.hint("merge"), ["container_id", "grupo"]).select("container_id", "grupo", (F.col("cajas") < F.col("antes")).alias("mejor")))
-        better = new.join(gain.filter("mejor").select("container_id", "grupo"), ["container_id", "grupo"], "left_semi")
-        kept = opened.join(gain.filter("NOT mejor").select("container_id", F.col("grupo").alias("_g")), ["container_id", "_g"], "left_semi").drop("_g")
-        closed = stays.unionByName(kept)
-        done = closed if done is None else done.unionByName(closed)
-        packed = better
-    done = done.unionByName(packed)
+        # a pool that gains nothing keeps its containers; one that does goes on, until no pool gains
+        done = done.unionByName(opened.join(gain.filter("NOT mejor").select("container_id", F.col("grupo").alias("_g")), ["container_id", "_g"], "left_semi").drop("_g"))
+        packed = new.join(gain.filter("mejor").select("container_id", "grupo"), ["container_id", "grupo"], "left_semi")
     named = done.withColumn("caja", F.concat_ws("-", "grupo", F.col("caja").cast("string")))
     cols = ["container_id", "max_tokens", "doc_id", "pieza", "inicio", "tokens", "caja"]
     return own.select(*cols).unionByName(named.select(*cols))
@@ -194,7 +201,7 @@ def capacities_of(sizes: DataFrame) -> list[tuple[int, int]]:
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text, or piece of a text, for each size."""
-    counted = cut(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    counted = cut(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", spark.conf.get("spark.censo.tokenizer", TOKENIZER)))
     return pack(counted, capacities_of(table(spark, sf_dir, "container_sizes")))
 
 

@@ -175,3 +175,19 @@ def test_p10_found(spark, sf):
     rows = df.collect()
     assert len({(r.doc_id, r.orden) for r in rows}) == len(rows) and {r.idioma for r in rows} <= set(G.LANGUAGES)
     assert df.filter(F.col("orden") < 0).count() == 0
+
+
+def test_passages_are_those_of_one_process(spark, sf):
+    items = spark.read.parquet(f"{sf}/eval_items.parquet").select("item_id", "text")
+    want = {i: p for i, p in K.own_passages([tuple(r) for r in items.collect()]).items() if len(p) >= K.LEAST_STRETCH}
+    assert {r.item_id: list(r.palabras) for r in K.passages_of(items).collect()} == want
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(passage(rng, 30))) for i in range(12)]
+    docs = [(100 + i, "Inicio del texto. " + items[i][1] + " y sigue.") for i in range(12)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(r) for r in K.leaks(d, q).collect())
+    monkeypatch.setattr(K, "ITEMS_PER_PASS", 3)
+    assert sorted(tuple(r) for r in K.leaks(d, q).collect()) == whole and len(whole) == 12
