@@ -93,17 +93,18 @@ def first_seen(df: DataFrame, parent: str, text: str, delimiter: str = "|", key:
     return first.select(parent, F.col("x.pos").cast("bigint").alias("pos"), F.col("x.valor").alias("valor"))
 
 
-def mode_by(df: DataFrame, key: str, value: str, prefer: list[Column] | None = None) -> DataFrame:
+def mode_by(df: DataFrame, key: str | list[str], value: str, prefer: list[Column] | None = None, weight: str | None = None) -> DataFrame:
     """(key, value): the most frequent value of each key, the smaller on ties; values that meet an earlier condition of ``prefer`` come first.
 
-    Counts by (key, value) come first, so a key with a third of all rows costs no more than its distinct values.
+    Counts by (key, value) come first, so a key with a third of all rows costs no more than its distinct values. A row counts ``weight`` times.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [key] if isinstance(key, str) else key
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_n"))
     better = [F.coalesce(p, F.lit(False)).cast("int") for p in (prefer or [])]
     order = F.struct(*(b.alias(f"b{i}") for i, b in enumerate(better)), F.col("_n").alias("n")) if better else F.struct(F.col("_n").alias("n"))
     top = counts.withColumn("_o", order)
-    best = top.groupBy(key).agg(F.max("_o").alias("_o"))
-    return top.join(best, [key, "_o"]).groupBy(key).agg(F.min(value).alias(value))
+    best = top.groupBy(*keys).agg(F.max("_o").alias("_o"))
+    return top.join(best, [*keys, "_o"]).groupBy(*keys).agg(F.min(value).alias(value))
 
 
 def violations(df: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFrame:

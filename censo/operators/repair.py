@@ -17,18 +17,19 @@ def one_deletions(code: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(code, F.lit(1), i - 1), F.substring(code, i + 1, n))))
 
 
-def triangulate(rows: DataFrame, id_col: str, code: str, centre: str, town: str, length: int = 5) -> DataFrame:
+def triangulate(rows: DataFrame, id_col: str, code: str, centre: str, town: str, length: int = 5, weight: str | None = None) -> DataFrame:
     """(id, codigo, base): every row's code, repaired where evidence settles it; base 'centro', 'localidad', 'provincia' or null.
 
     Only codes of exactly ``length`` - 1 digits are repaired, and only whole codes vote. Null codes stay null, other codes as they are. Votes are
-    counted per (scope, code) first, so frequent centres and towns cost one row per code.
+    counted per (scope, code) first, so frequent centres and towns cost one row per code; a row has ``weight`` votes, 1 without it.
     """
-    r = rows.select(F.col(id_col).alias("id"), F.trim(code).alias("c"), F.col(centre).alias("centro"), F.col(town).alias("localidad"))
+    votes_of = F.col(weight) if weight else F.lit(1)
+    r = rows.select(F.col(id_col).alias("id"), F.trim(code).alias("c"), F.col(centre).alias("centro"), F.col(town).alias("localidad"), votes_of.cast("bigint").alias("v"))
     whole = r.filter(F.col("c").rlike(f"^[0-9]{{{length}}}$"))
     short = r.filter(F.col("c").rlike(f"^[0-9]{{{length - 1}}}$"))
 
     def tier(scope: str) -> DataFrame:
-        votes = whole.filter(F.col(scope).isNotNull()).groupBy(scope, F.col("c").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        votes = whole.filter(F.col(scope).isNotNull()).groupBy(scope, F.col("c").alias("w")).agg(F.sum("v").alias("n"))
         keyed = votes.select(scope, "w", "n", F.explode_outer(one_deletions(F.col("w"))).alias("c"))
         seen = short.select(scope, "c").distinct().join(keyed, [scope, "c"])
         top = seen.groupBy(scope, "c").agg(F.max("n").alias("n"))

@@ -8,54 +8,15 @@ from pyspark.sql import functions as F
 
 from censo.functions import text as X
 from censo.operators import relational as R
-from censo.operators.components import connected_components
 from censo.operators.matching import blocked_match
 from censo.operators.repair import triangulate
-from censo.operators.sites import star_links
+from censo.plans import sqltext as Q
 from censo.plans.registry import Registry
 from censo.session import cut, table
 
 query = Registry()
 
 
-def supplier_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, component): suppliers linked by (nation, balance bucket), a star of links per group."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct("s_nationkey", F.floor(F.col("s_acctbal") / 1500)).alias("k1"), F.struct((F.col("s_suppkey") % 37).alias("a"), (F.col("s_nationkey") % 2).alias("b")).alias("k2"))
-    links = star_links(s.select("s_suppkey", F.col("k1").alias("k")), "k", "s_suppkey").unionByName(star_links(s.select("s_suppkey", F.col("k2").alias("k")), "k", "s_suppkey"))
-    comp = connected_components(cut(links), "a", "b")
-    return s.select("s_suppkey").join(comp, F.col("s_suppkey") == F.col("node"), "left").select("s_suppkey", F.coalesce("component", "s_suppkey").alias("componente"))
-
-
-COMPONENTS = """
-e AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON (a.s_nationkey = b.s_nationkey AND floor(a.s_acctbal / 1500) = floor(b.s_acctbal / 1500)) OR (a.s_suppkey % 37 = b.s_suppkey % 37 AND a.s_nationkey % 2 = b.s_nationkey % 2)),
-w(x, y) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT w.x, e.y FROM w JOIN e ON e.x = w.y),
-c AS (SELECT x AS s_suppkey, min(y) AS componente FROM w GROUP BY 1)"""
-
-
-@query(f"WITH RECURSIVE {COMPONENTS} SELECT s_suppkey, componente FROM c")
-def site_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supplier_components(spark, sf_dir)
-
-
-@query(f"""
-WITH RECURSIVE {COMPONENTS}, p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
-n AS (SELECT l_suppkey, count(*) AS n FROM p GROUP BY 1),
-d AS (SELECT componente, count(DISTINCT l_orderkey) AS ensayos FROM p JOIN c ON s_suppkey = l_suppkey GROUP BY 1),
-m AS (SELECT componente, count(*) AS miembros FROM c GROUP BY 1),
-r AS (SELECT componente, s_suppkey, row_number() OVER (PARTITION BY componente ORDER BY n DESC, s_suppkey) AS r FROM c JOIN n ON l_suppkey = s_suppkey)
-SELECT d.componente, miembros, ensayos, s_name AS principal FROM d JOIN m USING (componente) JOIN r ON r.componente = d.componente AND r.r = 1 JOIN supplier s ON s.s_suppkey = r.s_suppkey""")
-def site_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged sites: distinct studies after merging, members, and the name of the busiest member (smaller id on ties)."""
-    comp = cut(supplier_components(spark, sf_dir))
-    s = R.since(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 1996)
-    pairs = cut(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(s, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").distinct())
-    studies = pairs.join(comp, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("componente").agg(F.countDistinct("l_orderkey").alias("ensayos"))
-    busy = pairs.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).join(comp, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("componente").agg(F.max_by("s_suppkey", F.struct("n", (-F.col("s_suppkey")).alias("k"))).alias("s_suppkey"))
-    members = comp.groupBy("componente").agg(F.count(F.lit(1)).alias("miembros"))
-    names = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("principal"))
-    return studies.join(members, "componente").join(busy, "componente").join(names, "s_suppkey").select("componente", "miembros", "ensayos", "principal")
-
-
 _TOK = "list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('of', 'de', 'the', 'and', 'a')))"
 
 
@@ -97,10 +58,13 @@ def _code_sql(column: str) -> str:
     return f"CASE WHEN regexp_full_match({bare}, '[0-9]{{4,5}}') THEN lpad({bare}, 5, '0') END"
 
 
+MATCH_SIDES = f"""rws AS (SELECT center_id, {_code_sql('cod_postal')} AS cp, {_town_sql('localidad')} AS ciudad, {_words_sql('nombre')} AS w FROM centers),
+cat AS (SELECT codcnh, {_code_sql('cod_postal')} AS cp, {_town_sql('municipio')} AS ciudad, {_words_sql('nombre')} AS v FROM hospitals)"""
+
+
 @query(f"""
-WITH rws AS (SELECT center_id, {_code_sql('cod_postal')} AS cp, {_town_sql('localidad')} AS ciudad, {_words_sql('nombre')} AS w FROM centers),
-cat AS (SELECT codcnh, {_code_sql('cod_postal')} AS cp, {_town_sql('municipio')} AS ciudad, {_words_sql('nombre')} AS v FROM hospitals),
-x AS (SELECT center_id, codcnh FROM rws JOIN cat USING (cp) UNION SELECT center_id, codcnh FROM rws JOIN cat ON rws.ciudad = cat.ciudad AND rws.ciudad <> ''),
+WITH {MATCH_SIDES},
+x AS (SELECT center_id, codcnh FROM rws JOIN cat ON substr(rws.cp, 1, 2) = substr(cat.cp, 1, 2) UNION SELECT center_id, codcnh FROM rws JOIN cat ON rws.ciudad = cat.ciudad AND rws.ciudad <> ''),
 s AS (SELECT x.center_id, x.codcnh, CASE WHEN len(list_distinct(list_concat(w, v))) > 0 THEN len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) ELSE 0.0 END AS score FROM x JOIN rws USING (center_id) JOIN cat USING (codcnh)),
 r AS (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, codcnh) AS r FROM s),
 b AS (SELECT center_id, max(CASE WHEN r = 1 THEN codcnh END) AS codcnh, max(CASE WHEN r = 1 THEN score END) AS score, max(CASE WHEN r = 2 THEN score END) AS second FROM r WHERE r <= 2 GROUP BY 1)
@@ -149,20 +113,17 @@ def converted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("identificador", X.iso_date(F.col("fecha_registro")).alias("fecha"), X.clean_total(F.col("poblacion_total")).alias("total")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT sponsor_id, lower(trim(regexp_replace(promotor, '\\s+', ' ', 'g'))) AS limpio FROM sponsors WHERE NOT contains(promotor, '&')")
+@query(f"SELECT sponsor_id, lower({Q.clean('promotor')}) AS limpio FROM sponsors")
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned names of the whole table, entities decoded; no name is null. The SQL, which decodes no entities, leaves names with '&' out."""
+    """Cleaned names of the whole table, entities decoded."""
     return table(spark, sf_dir, "sponsors").select("sponsor_id", F.lower(X.clean_text(F.col("promotor"))).alias("limpio"))
 
 
-@query("""
-WITH u AS (SELECT sponsor_id AS id, promotor AS n FROM sponsors UNION ALL SELECT funder_id, nombre FROM funders), k AS (SELECT id, regexp_replace(lower(strip_accents(regexp_replace(n, '[.,;:()\\[\\]{}"/\\\\!¡?¿''’‘´`]', ' ', 'g'))), '\\s+', '', 'g') AS k FROM u WHERE NOT contains(n, '&'))
-SELECT trim(k, '-') AS clave, count(*) AS n, min(id) AS primero FROM k GROUP BY 1 HAVING count(*) > 1""")
+@query(f"""
+WITH u AS (SELECT sponsor_id AS id, promotor AS n FROM sponsors UNION ALL SELECT funder_id, nombre FROM funders), k AS (SELECT id, {Q.match_key('n')} AS clave FROM u)
+SELECT clave, count(*) AS n, min(id) AS primero FROM k GROUP BY 1 HAVING count(*) > 1""")
 def match_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spellings that differ in case, accents, punctuation, spacing or entities only; rows without a name are the group of key null.
-
-    The SQL, which decodes no entities, leaves names with '&' out.
-    """
+    """Spellings that differ in case, accents, punctuation, spacing or entities only; rows without a name are the group of key null."""
     u = table(spark, sf_dir, "sponsors").select(F.col("sponsor_id").alias("id"), F.col("promotor").alias("n")).unionByName(table(spark, sf_dir, "funders").select(F.col("funder_id").alias("id"), F.col("nombre").alias("n")))
     k = u.select("id", X.match_key(F.col("n")).alias("clave"))
     return k.groupBy("clave").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("primero")).filter("n > 1")
