@@ -44,7 +44,27 @@ def study_rules() -> dict[str, Column]:
     return {"identificador": F.coalesce(F.col("identificador").rlike(r"^[0-9]{4}-[0-9]{6}-[0-9]{2}(-[0-9]{2})?$"), F.lit(False)), "poblacion_total": F.col("poblacion_total") > 0, **dates}
 
 
-@query()
+_STATE = "CASE WHEN trim({0}) <> '' THEN regexp_replace(trim({0}), '^([0-9]{{2}})-([0-9]{{2}})-([0-9]{{4}})$', '\\3-\\2-\\1') END"
+_FLAG = "CASE WHEN {0} IN ('0', '1') THEN CAST({0} AS INT) END"
+_PICKED = ", ".join(f"max(valor) FILTER (WHERE bloque = '{b}' AND clave = '{k}') AS \"{k}\"" for b, ks in (("calendario", DATES), ("poblacion", (*POPULATION, "total")), ("proposito", PURPOSE)) for k in ks)
+_COLUMNS = ", ".join(
+    [f"{_STATE.format(f'"{k}"')} AS {snake(k)}" for k in DATES] + [f"{_FLAG.format(f'"{k}"')} AS {k}" for k in POPULATION]
+    + ["CASE WHEN regexp_full_match(trim(total), '[0-9]+') AND try_cast(trim(total) AS BIGINT) NOT IN (0, 999999) THEN try_cast(trim(total) AS BIGINT) END AS poblacion_total"] + [f"{_FLAG.format(f'"{k}"')} AS {snake(k)}" for k in PURPOSE]
+)
+_BAD_DATES = ", ".join(f"CASE WHEN NOT regexp_full_match({snake(k)}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '{snake(k)}' END" for k in DATES)
+STUDIES_SQL = f"""{Q.records()},
+bx AS (SELECT detalle_id, b.bloque, json_extract(r, '$.' || b.bloque) AS x FROM j, (VALUES ('calendario'), ('poblacion'), ('proposito')) b(bloque)),
+by_ AS (SELECT detalle_id, bloque, CASE WHEN json_type(x) = 'VARCHAR' AND json_valid(x ->> '$') THEN CAST(x ->> '$' AS JSON) ELSE x END AS x FROM bx),
+tr AS (SELECT detalle_id, bloque, t.key AS k, t.type AS tipo, t.atom ->> '$' AS v, t.parent AS padre FROM by_, json_tree(x) t),
+lf AS (SELECT detalle_id, bloque, clave, nullif(trim(valor), '') AS valor FROM (SELECT detalle_id, bloque, k AS clave, v AS valor FROM tr WHERE tipo NOT IN ('OBJECT', 'ARRAY', 'NULL')
+  UNION ALL SELECT detalle_id, bloque, max(v) FILTER (WHERE k = 'campo'), max(v) FILTER (WHERE k = 'valor') FROM tr GROUP BY detalle_id, bloque, padre HAVING count(*) FILTER (WHERE k = 'campo') > 0)),
+wi AS (SELECT detalle_id, {_PICKED} FROM (SELECT * FROM lf UNION ALL SELECT detalle_id, NULL, NULL, NULL FROM j) GROUP BY 1),
+fs AS (SELECT detalle_id, d.carga, d.registro ->> '$.identificador' AS identificador, length(d.registro ->> '$.identificador') = 17 AS es_ctis, CASE WHEN upper(trim(d.registro ->> '$.acronimo')) NOT IN ('N/A', 'NA', 'ND', '-', '') THEN trim(d.registro ->> '$.acronimo') END AS acronimo,
+  CASE WHEN trim(d.registro ->> '$.enfermedadRara') IN ('0', '1') THEN CAST(trim(d.registro ->> '$.enfermedadRara') AS INT) END AS enfermedad_rara, d.registro ->> '$.organismo.promotor' AS promotor, {_COLUMNS} FROM wi JOIN detalle d USING (detalle_id)),
+ck AS (SELECT *, list_filter([CASE WHEN NOT coalesce(regexp_full_match(identificador, '[0-9]{{4}}-[0-9]{{6}}-[0-9]{{2}}(-[0-9]{{2}})?'), false) THEN 'identificador' END, CASE WHEN NOT poblacion_total > 0 THEN 'poblacion_total' END, {_BAD_DATES}], lambda x: x IS NOT NULL) AS faltas FROM fs)"""
+
+
+@query(f"WITH {STUDIES_SQL} SELECT * EXCLUDE (faltas) FROM ck WHERE len(faltas) = 0 QUALIFY row_number() OVER (PARTITION BY identificador ORDER BY detalle_id DESC) = 1")
 def gold_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted studies: the last record of each identifier among those that keep every constraint."""
     good, _ = R.quarantine(flat_studies(spark, sf_dir), study_rules())
@@ -52,7 +72,7 @@ def gold_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.join(last, ["identificador", "detalle_id"], "left_semi")
 
 
-@query()
+@query(f"WITH {STUDIES_SQL} SELECT detalle_id, identificador, array_to_string(faltas, ',') AS faltas FROM ck WHERE len(faltas) > 0")
 def gold_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refused studies with the columns at fault."""
     _, bad = R.quarantine(flat_studies(spark, sf_dir), study_rules())
