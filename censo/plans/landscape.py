@@ -6,11 +6,13 @@ sponsors, nations and regions for provinces and regions; registry tables are use
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from censo.functions import vocabularies as V
 from censo.operators import relational as R
+from censo.plans import sqltext as Q
 from censo.plans.registry import Registry
 from censo.session import table
 
@@ -166,29 +168,57 @@ def phase_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("area", "n", *(R.share(F.col(c), F.col("n")).alias(x.lower()) for c, x in PHASES.items()))
 
 
-# Words that tell a company from a public body.
-INDUSTRY = r"(?iu)\b(s\.? ?a\.?|s\.?l\.?u?\.?|inc|ltd|limited|gmbh|g\.m\.b\.h|llc|incorporated|sociedad (an[oó]nima|limitada))\b|pharma|laboratori|biotec|bio-tech|therapeutic|terap[eé]utic|\btx\b"
-ACADEMIC = r"(?iu)\b(hospital|universi|univ\.|fundaci|fund\.|foundation|asociaci|associaci|medical association|grup[o ]|gpo\.|cooperative group|institut|inst\.)"
-PERSON = r"(?iu)^(dr|dra|prof)\b\.?\s"
+def _any(markers: tuple[str, ...]) -> str:
+    return "(?iu)" + "|".join(f"(?:{m})" for m in markers)
+
+
+def is_individual(name: Column) -> Column:
+    """A personal title opens the name and nothing in it speaks for a company."""
+    return name.rlike("(?iu)" + V.PERSONAL_TITLE) & ~name.rlike(_any(V.INDUSTRY_MARKERS))
+
+
+def family_of(name: Column) -> Column:
+    """The first family whose pattern is found; a person is an unnamed individual, any other name its own family."""
+    return F.when(is_individual(name), F.lit(V.INDIVIDUAL)).otherwise(R.first_rule(name, [(f"(?iu){p}", f) for p, f in V.FAMILIES], name))
+
+
+def classify(name: Column) -> Column:
+    """Individuals are academic; else what only one set of markers speaks for; else a company's family; else unclassified. Null is null."""
+    industry, academic = name.rlike(_any(V.INDUSTRY_MARKERS)), name.rlike(_any(V.ACADEMIC_MARKERS))
+    by_marker = F.when(industry & ~academic, V.INDUSTRY).when(academic & ~industry, V.ACADEMIC)
+    family = F.when(family_of(name).isin(*sorted({f for _, f in V.FAMILIES})), V.INDUSTRY).otherwise(V.UNCLASSIFIED)
+    return F.when(name.isNotNull(), F.when(is_individual(name), F.lit(V.ACADEMIC)).otherwise(F.coalesce(by_marker, family)))
+
+
+def sponsor_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sponsor_id, clase, familia, visible): each sponsor classified once; persons are shown without their name."""
+    n = F.col("promotor")
+    return table(spark, sf_dir, "sponsors").select("sponsor_id", classify(n).alias("clase"), family_of(n).alias("familia"), F.when(is_individual(n), F.lit(V.INDIVIDUAL)).otherwise(n).alias("visible"))
 
 
 def study_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(identificador, anio, clase, fase_cuatro) with the sponsor's class; names are classified once each, then joined."""
-    sponsors = table(spark, sf_dir, "sponsors").select("sponsor_id", "promotor")
-    industry, academic = F.col("promotor").rlike(INDUSTRY), F.col("promotor").rlike(ACADEMIC)
-    person = F.col("promotor").rlike(PERSON) & ~industry
-    clase = F.when(person, "Academia").when(industry & ~academic, "Industria").when(academic & ~industry, "Academia").otherwise("Sin clasificar")
+    """(identificador, anio, clase, familia, promotor, fase_cuatro) of every study with a sound date."""
     f = F.col("fecha_autorizacion_aemps")
     s = table(spark, sf_dir, "studies").filter(f.rlike("^(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$")).groupBy("identificador").agg(F.min("sponsor_id").alias("sponsor_id"), F.min(f).alias("f"), F.max("fase_cuatro").alias("fase_cuatro"))
-    return s.join(sponsors.withColumn("clase", clase), "sponsor_id").select("identificador", F.substring("f", 1, 4).cast("bigint").alias("anio"), "clase", "fase_cuatro")
+    return s.join(sponsor_classes(spark, sf_dir), "sponsor_id").select("identificador", F.substring("f", 1, 4).cast("bigint").alias("anio"), "clase", "familia", "visible", "fase_cuatro")
 
 
-_I = INDUSTRY.replace("(?iu)", "").replace("'", "''")
-_A = ACADEMIC.replace("(?iu)", "").replace("'", "''")
-_P = PERSON.replace("(?iu)", "").replace("'", "''")
-CLASSES = f"""k AS (SELECT sponsor_id, regexp_matches(promotor, '{_I}', 'i') AS ind, regexp_matches(promotor, '{_A}', 'i') AS aca, regexp_matches(promotor, '{_P}', 'i') AS per FROM sponsors),
+def _re(pattern: str) -> str:
+    return f"regexp_matches(promotor, {Q.quote(pattern)}, 'i')"
+
+
+_PERSON = f"({_re(V.PERSONAL_TITLE)} AND NOT {_re('|'.join(V.INDUSTRY_MARKERS))})"
+_FAMILY = "CASE " + f"WHEN {_PERSON} THEN {Q.quote(V.INDIVIDUAL)} " + " ".join(f"WHEN {_re(p)} THEN {Q.quote(f)}" for p, f in V.FAMILIES) + " ELSE promotor END"
+CLASSES = f"""k0 AS (SELECT sponsor_id, promotor, {_re('|'.join(V.INDUSTRY_MARKERS))} AS ind, {_re('|'.join(V.ACADEMIC_MARKERS))} AS aca, {_PERSON} AS per, {_FAMILY} AS familia FROM sponsors),
+k AS (SELECT sponsor_id, CASE WHEN promotor IS NULL THEN NULL WHEN per THEN '{V.ACADEMIC}' WHEN ind AND NOT aca THEN '{V.INDUSTRY}' WHEN aca AND NOT ind THEN '{V.ACADEMIC}' WHEN familia IN ({', '.join(sorted({Q.quote(f) for _, f in V.FAMILIES}))}) THEN '{V.INDUSTRY}' ELSE '{V.UNCLASSIFIED}' END AS clase, familia, CASE WHEN per THEN '{V.INDIVIDUAL}' ELSE promotor END AS visible FROM k0),
 s AS (SELECT identificador, min(sponsor_id) AS sponsor_id, min(fecha_autorizacion_aemps) AS f, max(fase_cuatro) AS fase_cuatro FROM studies WHERE regexp_full_match(fecha_autorizacion_aemps, '(19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') GROUP BY 1),
-q AS (SELECT identificador, CAST(substr(f, 1, 4) AS BIGINT) AS anio, CASE WHEN per AND NOT ind THEN 'Academia' WHEN ind AND NOT aca THEN 'Industria' WHEN aca AND NOT ind THEN 'Academia' ELSE 'Sin clasificar' END AS clase, fase_cuatro FROM s JOIN k USING (sponsor_id))"""
+q AS (SELECT identificador, CAST(substr(f, 1, 4) AS BIGINT) AS anio, clase, familia, visible, fase_cuatro FROM s JOIN k USING (sponsor_id))"""
+
+
+@query(f"WITH {CLASSES} SELECT sponsor_id, clase, familia, visible FROM k")
+def sponsor_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, family and shown name of every sponsor."""
+    return sponsor_classes(spark, sf_dir)
 
 
 @query(f"WITH {CLASSES} SELECT clase, count(*) AS n FROM q GROUP BY 1")
@@ -196,13 +226,13 @@ def classify_sponsors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study_classes(spark, sf_dir).groupBy("clase").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {CLASSES} SELECT anio, round(count(*) FILTER (WHERE clase = 'Industria') * 100.0 / count(*), 4) AS industria, round(count(*) FILTER (WHERE clase = 'Academia') * 100.0 / count(*), 4) AS academia,
-round(count(*) FILTER (WHERE clase = 'Sin clasificar') * 100.0 / count(*), 4) AS sin_clasificar FROM q GROUP BY 1""")
+@query(f"""WITH {CLASSES} SELECT anio, round(count(*) FILTER (WHERE clase = '{V.INDUSTRY}') * 100.0 / count(*), 4) AS industria, round(count(*) FILTER (WHERE clase = '{V.ACADEMIC}') * 100.0 / count(*), 4) AS academia,
+round(count(*) FILTER (WHERE clase = '{V.UNCLASSIFIED}') * 100.0 / count(*), 4) AS sin_clasificar FROM q WHERE clase IS NOT NULL GROUP BY 1""")
 def class_share_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three shares per year; an absent class is 0."""
-    p = study_classes(spark, sf_dir).groupBy("anio").pivot("clase", ["Industria", "Academia", "Sin clasificar"]).count().na.fill(0)
-    total = F.col("Industria") + F.col("Academia") + F.col("Sin clasificar")
-    return p.select("anio", R.share(F.col("Industria"), total).alias("industria"), R.share(F.col("Academia"), total).alias("academia"), R.share(F.col("Sin clasificar"), total).alias("sin_clasificar"))
+    p = study_classes(spark, sf_dir).filter("clase IS NOT NULL").groupBy("anio").pivot("clase", [V.INDUSTRY, V.ACADEMIC, V.UNCLASSIFIED]).count().na.fill(0)
+    total = F.col(V.INDUSTRY) + F.col(V.ACADEMIC) + F.col(V.UNCLASSIFIED)
+    return p.select("anio", R.share(F.col(V.INDUSTRY), total).alias("industria"), R.share(F.col(V.ACADEMIC), total).alias("academia"), R.share(F.col(V.UNCLASSIFIED), total).alias("sin_clasificar"))
 
 
 @query(f"WITH {CLASSES} SELECT anio, clase, count(*) AS ensayos, CAST(coalesce(sum(fase_cuatro), 0) AS BIGINT) AS fase_cuatro FROM q GROUP BY 1, 2")
@@ -210,26 +240,22 @@ def class_flag_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study_classes(spark, sf_dir).groupBy("anio", "clase").agg(F.count(F.lit(1)).alias("ensayos"), F.coalesce(F.sum("fase_cuatro"), F.lit(0)).cast("bigint").alias("fase_cuatro"))
 
 
-#: Ordered rules from names to families; the first that is found counts, a name without one is its own family.
-FAMILY_RULES = [("^steel", "Acero"), ("(?i)small|copper", "Cobre"), ("(?i)tin", "Estaño"), ("(?i)brass", "Latón")]
-FAMILY_SQL = "CASE WHEN regexp_matches(p_name, '^steel') THEN 'Acero' WHEN regexp_matches(p_name, 'small|copper', 'i') THEN 'Cobre' WHEN regexp_matches(p_name, 'tin', 'i') THEN 'Estaño' WHEN regexp_matches(p_name, 'brass', 'i') THEN 'Latón' ELSE p_name END"
-
-
-@query(f"WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), f AS (SELECT {FAMILY_SQL} AS familia, n FROM n) SELECT familia, CAST(sum(n) AS BIGINT) AS n, count(*) AS grafias FROM f GROUP BY 1 ORDER BY n DESC, familia LIMIT 15")
+@query(f"WITH {CLASSES}, n AS (SELECT visible, familia, count(*) AS n FROM q GROUP BY 1, 2) SELECT familia, CAST(sum(n) AS BIGINT) AS n, count(*) AS grafias FROM n GROUP BY 1 ORDER BY n DESC, familia LIMIT 15")
 def top_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per spelling, then per family: sum and number of spellings; ties by name."""
-    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
-    fam = names.withColumn("familia", R.first_rule(F.col("p_name"), FAMILY_RULES, F.col("p_name")))
-    return fam.groupBy("familia").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grafias")).orderBy(F.desc("n"), "familia").limit(15)
+    """Studies per spelling, then per family with the number of spellings; ties by name."""
+    names = study_classes(spark, sf_dir).groupBy("visible", "familia").agg(F.count(F.lit(1)).alias("n"))
+    return names.groupBy("familia").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grafias")).orderBy(F.desc("n"), "familia").limit(15)
 
 
-@query(f"WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), f AS (SELECT {FAMILY_SQL} AS familia, p_name, n FROM n) SELECT familia, CAST(sum(n) AS BIGINT) AS n, string_agg(p_name || '=' || n, '; ' ORDER BY n DESC, p_name) AS grafias FROM f GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {CLASSES}, n AS (SELECT promotor, clase, familia, count(*) AS n FROM k JOIN s USING (sponsor_id) JOIN (SELECT sponsor_id, promotor FROM sponsors) USING (sponsor_id) WHERE familia <> '{V.INDIVIDUAL}' GROUP BY 1, 2, 3) SELECT familia, min(clase) AS clase, CAST(sum(n) AS BIGINT) AS n, string_agg(promotor || '=' || n, '; ' ORDER BY n DESC, promotor) AS grafias, count(*) > 1 AS varias FROM n GROUP BY 1")
 def family_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of several spellings with their sorted list (bounded by the spellings of a family)."""
-    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
-    fam = names.withColumn("familia", R.first_rule(F.col("p_name"), FAMILY_RULES, F.col("p_name")))
-    lists = fam.groupBy("familia").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p_name"))).alias("x"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return lists.select("familia", "n", F.array_join(F.transform("x", lambda e: F.concat(e["p_name"], F.lit("="), (-e["m"]).cast("string"))), "; ").alias("grafias"))
+    """Families with the sorted list of their spellings (bounded by the spellings of a family), and whether there are several; persons are left out."""
+    names = table(spark, sf_dir, "sponsors").select("sponsor_id", "promotor").join(sponsor_classes(spark, sf_dir), "sponsor_id").filter(F.col("familia") != V.INDIVIDUAL)
+    f = F.col("fecha_autorizacion_aemps")
+    s = table(spark, sf_dir, "studies").filter(f.rlike("^(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$")).groupBy("identificador").agg(F.min("sponsor_id").alias("sponsor_id"))
+    fam = s.join(names, "sponsor_id").groupBy("promotor", "clase", "familia").agg(F.count(F.lit(1)).alias("n"))
+    lists = fam.groupBy("familia").agg(F.min("clase").alias("clase"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "promotor"))).alias("x"))
+    return lists.select("familia", "clase", "n", F.array_join(F.transform("x", lambda e: F.concat(e["promotor"], F.lit("="), (-e["m"]).cast("string"))), "; ").alias("grafias"), (F.size("x") > 1).alias("varias"))
 
 
 def placed(spark: SparkSession, sf_dir: str, first_year: int = FLOOR, last_year: int | None = None) -> DataFrame:
