@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from censo.functions import text as X
 from censo.operators import relational as R
-from censo.operators.matching import blocked_match
+from censo.operators.matching import MARGIN, blocked_candidates, blocked_match
 from censo.operators.repair import triangulate
 from censo.plans import sqltext as Q
 from censo.plans.registry import Registry
@@ -62,28 +62,76 @@ MATCH_SIDES = f"""rws AS (SELECT center_id, {_code_sql('cod_postal')} AS cp, {_t
 cat AS (SELECT codcnh, {_code_sql('cod_postal')} AS cp, {_town_sql('municipio')} AS ciudad, {_words_sql('nombre')} AS v FROM hospitals)"""
 
 
-@query(f"""
+MATCH_SQL = f"""
 WITH {MATCH_SIDES},
 x AS (SELECT center_id, codcnh FROM rws JOIN cat ON substr(rws.cp, 1, 2) = substr(cat.cp, 1, 2) UNION SELECT center_id, codcnh FROM rws JOIN cat ON rws.ciudad = cat.ciudad AND rws.ciudad <> ''),
 s AS (SELECT x.center_id, x.codcnh, CASE WHEN len(list_distinct(list_concat(w, v))) > 0 THEN len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) ELSE 0.0 END AS score FROM x JOIN rws USING (center_id) JOIN cat USING (codcnh)),
 r AS (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, codcnh) AS r FROM s),
 b AS (SELECT center_id, max(CASE WHEN r = 1 THEN codcnh END) AS codcnh, max(CASE WHEN r = 1 THEN score END) AS score, max(CASE WHEN r = 2 THEN score END) AS second FROM r WHERE r <= 2 GROUP BY 1)
-SELECT rws.center_id, codcnh, round(score, 6) AS score, round(second, 6) AS second, CASE WHEN score IS NULL OR score < 0.25 THEN 'sin candidato' WHEN score < 0.5 THEN 'cerca' WHEN coalesce(score - second < 0.10, false) THEN 'ambiguo' ELSE 'casado' END AS verdict FROM rws LEFT JOIN b USING (center_id)""")
+SELECT rws.center_id, codcnh, round(score, 6) AS score, round(second, 6) AS second, CASE WHEN score IS NULL OR score < 0.25 THEN 'sin candidato' WHEN score < 0.5 THEN 'cerca' WHEN coalesce(score - second < 0.10, false) THEN 'ambiguo' ELSE 'casado' END AS verdict FROM rws LEFT JOIN b USING (center_id)"""
+
+
+def match_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Centre rows and catalogue with prov, ciudad (blocks) and their words w and v."""
+    side = lambda t, town: (F.substring(X.normalise_postcode(F.col("cod_postal")), 1, 2).alias("prov"), X.normalise_town(F.coalesce(town, F.lit(""))).alias("ciudad"), X.tokens(F.coalesce("nombre", F.lit(""))).alias(t))
+    c = cut(table(spark, sf_dir, "centers").select("center_id", "nombre", "localidad", *side("w", "localidad")))
+    return c, cut(table(spark, sf_dir, "hospitals").select("codcnh", *side("v", "municipio")))
+
+
+@query(MATCH_SQL)
 def hospital_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centre rows against the catalogue: blocks by province and town, synonyms united, a verdict for every row.
 
     The province is the first two digits of the code, so its block holds every hospital of the row's postcode as well. Rows that read alike
     are matched once.
     """
-    side = lambda t, town: (F.substring(X.normalise_postcode(F.col("cod_postal")), 1, 2).alias("prov"), X.normalise_town(F.coalesce(town, F.lit(""))).alias("ciudad"), X.tokens(F.coalesce("nombre", F.lit(""))).alias(t))
-    c = cut(table(spark, sf_dir, "centers").select("center_id", *side("w", "localidad")))
-    h = cut(table(spark, sf_dir, "hospitals").select("codcnh", *side("v", "municipio")))
+    c, h = match_sides(spark, sf_dir)
+    c = c.drop("nombre", "localidad")
     # whatever the order of their words
     alike = cut(c.withColumn("w", F.array_sort("w")).withColumn("k", F.min("center_id").over(W.partitionBy("prov", "ciudad", "w"))))
     m = blocked_match(alike.filter("center_id = k").select("k", "prov", "ciudad", "w"), "k", "w", h, "codcnh", "v", ["prov", "ciudad"]).drop("why")
     return alike.select("center_id", "k").join(m, "k").drop("k").withColumn("score", F.round("score", 6)).withColumn("second", F.round("second", 6))
 
 
+@query(f"SELECT center_id, codcnh FROM ({MATCH_SQL}) WHERE verdict = 'casado'")
+def hospital_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every centre row that was matched, whatever its studies."""
+    return hospital_match(spark, sf_dir).filter("verdict = 'casado'").select("center_id", "codcnh")
+
+
+_WORD_TEXT = "array_to_string(list_filter(string_split(regexp_replace(lower(strip_accents(coalesce(nombre, ''))), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> ''), ' ')"
+
+
+@query(f"""
+WITH m AS ({MATCH_SQL}), {MATCH_SIDES},
+t AS (SELECT sc.center_id, count(DISTINCT s.identificador) AS ensayos FROM study_centers sc JOIN studies s ON s.identificador = sc.study_id AND s.fecha_autorizacion_aemps >= '2013-01-01' GROUP BY 1),
+a AS (SELECT c.center_id, c.nombre, c.localidad, {_WORD_TEXT.replace('nombre', 'c.nombre')} AS palabras, rws.ciudad, coalesce(ensayos, 0) AS ensayos FROM m JOIN centers c USING (center_id) JOIN rws USING (center_id) LEFT JOIN t USING (center_id) WHERE verdict = 'ambiguo'),
+g AS (SELECT palabras, ciudad, min(center_id) AS center_id, CAST(sum(ensayos) AS BIGINT) AS ensayos, count(*) AS filas FROM a GROUP BY 1, 2),
+x AS (SELECT center_id, codcnh FROM rws JOIN cat ON substr(rws.cp, 1, 2) = substr(cat.cp, 1, 2) UNION SELECT center_id, codcnh FROM rws JOIN cat ON rws.ciudad = cat.ciudad AND rws.ciudad <> ''),
+s AS (SELECT g.center_id, x.codcnh, cat.ciudad AS donde, CASE WHEN len(list_distinct(list_concat(w, v))) > 0 THEN len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) ELSE 0.0 END AS score FROM g JOIN x USING (center_id) JOIN rws USING (center_id) JOIN cat USING (codcnh)),
+r AS (SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, codcnh) AS r, max(score) OVER (PARTITION BY center_id) AS top FROM s),
+f AS (SELECT g.center_id, string_agg(codcnh, ',' ORDER BY r.r) AS candidatos, CASE WHEN g.ciudad <> '' AND count(*) FILTER (WHERE score >= top - 0.1 AND donde = g.ciudad) = 1 THEN min(codcnh) FILTER (WHERE score >= top - 0.1 AND donde = g.ciudad) END AS propuesta FROM g JOIN r ON r.center_id = g.center_id AND r.r <= 5 GROUP BY g.center_id, g.ciudad)
+SELECT format('c{{:02d}}', row_number() OVER (ORDER BY g.ensayos DESC, g.center_id)) AS caso, a.nombre, a.localidad, g.ensayos, g.filas, candidatos, propuesta FROM g JOIN a USING (center_id) JOIN f USING (center_id)""")
+def ambiguous_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a person has to separate, busiest first: ambiguous rows of one folded name and town are one case, asked for its first row.
+
+    Of a case's five best candidates, the only one within MARGIN of the best in the row's own town is proposed.
+    """
+    c, h = match_sides(spark, sf_dir)
+    unclear = hospital_match(spark, sf_dir).filter("verdict = 'ambiguo'").select("center_id")
+    s = table(spark, sf_dir, "studies").filter("fecha_autorizacion_aemps >= '2013-01-01'").select(F.col("identificador").alias("study_id")).distinct()
+    n = table(spark, sf_dir, "study_centers").select("study_id", "center_id").distinct().join(s.hint("merge"), "study_id", "left_semi").groupBy("center_id").agg(F.count(F.lit(1)).alias("ensayos"))
+    rows = c.join(unclear.hint("merge"), "center_id").join(n.hint("merge"), "center_id", "left").withColumn("palabras", F.array_join(X.words_of(F.coalesce("nombre", F.lit(""))), " "))
+    cases = cut(rows.groupBy("palabras", "ciudad").agg(F.min("center_id").alias("center_id"), F.coalesce(F.sum("ensayos"), F.lit(0)).cast("bigint").alias("ensayos"), F.count(F.lit(1)).alias("filas")))
+    asked = cut(cases.select("center_id", "ensayos", "filas").join(c.hint("merge"), "center_id"))
+    best = blocked_candidates(asked, "center_id", "w", h, "codcnh", "v", ["prov", "ciudad"], 5)
+    best = best.withColumn("top", F.max("score").over(W.partitionBy("center_id"))).join(h.select("codcnh", F.col("ciudad").alias("donde")).hint("merge"), "codcnh").join(asked.select("center_id", "ciudad").hint("merge"), "center_id")
+    here = (F.col("score") >= F.col("top") - MARGIN) & (F.col("donde") == F.col("ciudad")) & (F.col("ciudad") != "")
+    found = best.groupBy("center_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rango", "codcnh"))), lambda x: x["codcnh"]), ",").alias("candidatos"), F.when(F.count_if(here) == 1, F.min(F.when(here, F.col("codcnh")))).alias("propuesta"))
+    number = F.row_number().over(W.orderBy(F.desc("ensayos"), "center_id"))  # a review list: one row a case
+    return asked.join(found.hint("merge"), "center_id").select(F.format_string("c%02d", number).alias("caso"), "nombre", "localidad", "ensayos", "filas", "candidatos", "propuesta")
+
+
 @query("""
 WITH r AS (SELECT center_id AS id, trim(cod_postal) AS c, center_key || '|' || localidad AS centro, localidad FROM centers),
 whole AS (SELECT * FROM r WHERE regexp_full_match(c, '[0-9]{5}')), short AS (SELECT * FROM r WHERE regexp_full_match(c, '[0-9]{4}')),

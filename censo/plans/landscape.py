@@ -204,7 +204,8 @@ def study_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _re(pattern: str) -> str:
-    return f"regexp_matches(promotor, {Q.quote(pattern)}, 'i')"
+    # DuckDB's word boundaries know ASCII letters only
+    return f"regexp_matches(strip_accents(promotor), {Q.quote(pattern.replace('í', 'i').replace('ñ', 'n'))}, 'i')"
 
 
 _PERSON = f"({_re(V.PERSONAL_TITLE)} AND NOT {_re('|'.join(V.INDUSTRY_MARKERS))})"
