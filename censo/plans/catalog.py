@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from censo.plans import centres, completion, gold, identity, landscape, nested, quality, streams
+from censo.plans import centres, completion, gold, identity, landscape, nested, profile, quality, streams
 
-REGISTRIES = (landscape.query, gold.query, identity.query, centres.query, streams.query)
+REGISTRIES = (landscape.query, gold.query, identity.query, centres.query, profile.query, streams.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

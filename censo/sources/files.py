@@ -56,10 +56,15 @@ def read_hospitals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HOSPITALS_SCHEMA).option("header", True).csv(path)
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, geometry) of the features; the geometry as JSON text."""
+    raw = spark.read.schema("features array<struct<id:string,properties:struct<name:string>,geometry:string>>").option("multiLine", True).json(path)
+    return raw.select(F.explode("features").alias("f")).select("f.id", "f.properties.name", "f.geometry")
+
+
 def read_geojson_names(spark: SparkSession, path: str) -> DataFrame:
     """(id, name) of the features."""
-    raw = spark.read.schema("features array<struct<id:string,properties:struct<name:string>>>").option("multiLine", True).json(path)
-    return raw.select(F.explode("features").alias("f")).select("f.id", "f.properties.name")
+    return read_geojson(spark, path).select("id", "name")
 
 
 def append_records(df: DataFrame, folder: str) -> None:

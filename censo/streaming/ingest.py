@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from censo.sources.lookup import ListSource
+
 
 def pending(listed: DataFrame, done: DataFrame, failed: DataFrame, id_col: str = "identificador") -> DataFrame:
     """Listed ids that were neither recorded nor refused, each once."""
@@ -30,10 +32,27 @@ def merge_failures(old: DataFrame, retried: DataFrame, recovered: DataFrame) ->
     return both.groupBy("identificador").agg(F.max_by("reason", "at").alias("reason"), F.max("at").alias("at"))
 
 
+def has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder exists and holds anything, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(path) and len(fs.listStatus(path)) > 0
+
+
+def backfill(spark: SparkSession, first: int, last: int, cached: list[int], fetch: str) -> DataFrame:
+    """(anio, documento) of the years from ``first`` to ``last`` that are not cached yet; no rows if all are."""
+    missing = [y for y in range(first, last + 1) if y not in set(cached)]
+    spark.dataSource.register(ListSource)
+    if not missing:
+        return spark.createDataFrame([], "anio int, documento string")
+    return spark.read.format("registro_lista").option("fetch", fetch).option("years", ",".join(map(str, missing))).load()
+
+
 def ingest_new_files(spark: SparkSession, source: str, schema: T.StructType | str, target: str, checkpoint: str, id_col: str, file_format: str = "json", files_per_batch: int | None = None) -> int:
     """Take all files not yet seen (trigger available-now) into the Parquet folder ``target``; the number of rows added.
 
-    Rows without id are left out; an id comes in once, whatever file, batch or run brings it again.
+    Rows without id are left out; an id comes in once, whatever file, batch or run brings it again. One run at a time: the checkpoint admits no
+    second one.
     """
     reader = spark.readStream.schema(schema).format(file_format)
     if files_per_batch:
@@ -43,11 +62,7 @@ def ingest_new_files(spark: SparkSession, source: str, schema: T.StructType | st
     def take(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         new = batch.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        try:
-            new = new.join(s.read.parquet(target).select(id_col), id_col, "left_anti")
-        except Exception as e:  # noqa: BLE001 - the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        new = new.join(s.read.schema(batch.schema).parquet(target).select(id_col), id_col, "left_anti") if has_files(s, target) else new
         new = new.persist()
         added[0] += new.count()
         new.write.mode("append").parquet(target)
