@@ -135,6 +135,30 @@ def positions(path: Path, r: list[int], record: list[int]) -> list[tuple[int, ..
     return found
 
 
+def element_rows(values: list) -> tuple[list, list, list, list]:
+    """Columns (record, tabla, ruta, padre) of all elements of all lists of a batch: the parent tables of the flat leaves.
+
+    ``tabla`` is the list's path, ``ruta`` the element's positions, ``padre`` those of the element its list lies in ('' at the top). Which
+    elements exist follows from the definition levels: an entry whose level reaches the list's step has the element, an empty or absent list
+    has an entry of a lower level and no row. Null and empty elements are rows, so that the positions of the others have their parent.
+    """
+    root = Node()
+    for value in values:
+        learn(root, value)
+    stripes = Stripes()
+    for k, value in enumerate(values):
+        shred(root, value, k, stripes)
+    seen: dict[tuple[int, Path, tuple[int, ...]], None] = {}
+    for path, (recs, r, d, _) in stripes.by_path.items():
+        steps = [i for i, s in enumerate(path) if s == ITEM]
+        for rec, at, level in zip(recs, positions(path, r, recs), d):
+            for depth, i in enumerate(steps):
+                if level > i:
+                    seen.setdefault((rec, path[: i + 1], at[: depth + 1]))
+    text = lambda at: ".".join(map(str, at))
+    return [k[0] for k in seen], [".".join(k[1]) for k in seen], [text(k[2]) for k in seen], [text(k[2][:-1]) for k in seen]
+
+
 def flatten_batch(values: list, records: list, pair: tuple[str, str] | None) -> tuple[list, list, list, list, list]:
     """Columns (record, ruta, tabla, campo, valor) of the flat tables of a batch, empty leaves left out.
 
@@ -230,3 +254,29 @@ def shred_json(
 
     return df.select(*(F.col(f.name) for f in kept), F.col(json_col).alias("_json")).mapInArrow(run, schema)
 
+
+
+def shred_elements(df: DataFrame, json_col: str, keep: list[str], roots: list[str], batch: int = 512) -> DataFrame:
+    """One row per element of every list in the blocks ``roots``: ``keep``, bloque, tabla, ruta, padre (see ``element_rows``).
+
+    With ``shred_json`` these are related tables: leaves join their element on (keep, bloque, tabla, ruta), elements their parent's on padre.
+    """
+    kept = sorted((f for f in df.schema.fields if f.name in keep), key=lambda f: keep.index(f.name))
+    schema = T.StructType([*kept, *(T.StructField(c, T.StringType()) for c in ("bloque", "tabla", "ruta", "padre"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                part = whole.slice(start, batch)
+                decoded = [decode(x) for x in part.column(len(kept)).to_pylist()]
+                rows, cols = [], ([], [], [], [])
+                for root in roots:
+                    at = [i for i, (ok, v) in enumerate(decoded) if ok and isinstance(v, dict) and v.get(root) is not None]
+                    rec, *found = element_rows([unwrap(decoded[i][1][root]) for i in at])
+                    rows += [at[k] for k in rec]
+                    for c, values in zip(cols, ([root] * len(rec), *found)):
+                        c.extend(values)
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(len(kept))), *(pa.array(c, pa.string()) for c in cols)], [f.name for f in schema.fields])
+
+    return df.select(*(F.col(f.name) for f in kept), F.col(json_col).alias("_json")).mapInArrow(run, schema)

@@ -14,6 +14,7 @@ REGISTRIES = (landscape.query, gold.query, identity.query, centres.query, profil
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "p2_found": nested.p2_found,
+        "p2_tables": nested.p2_tables,
         "p3_found": quality.p3_found,
         "p3_profile": quality.p3_profile,
         "p6_found": completion.p6_found,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censo.operators.shredding import shred_json
+from censo.operators.shredding import shred_elements, shred_json
 from censo.session import table
 
 # Raw keys of the registry's record format.
@@ -66,3 +66,8 @@ def area_route(path, ruta):
         ),
     )
     return F.array_join(step["out"], ".")
+
+
+def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of all lists of the four blocks, each with its parent: the tables that the rows of p2_found lie below."""
+    return shred_elements(table(spark, sf_dir, "detalle"), "registro", ["detalle_id"], list(BLOCKS))

@@ -13,6 +13,8 @@ from censo.session import cut, table
 STRICT_FLAGS = ("voluntariossanos", "pacientes", "pobvulnerable", "adultos", "ancianos", "menores")
 YEARS = (1995, 2035)
 MOST_PEOPLE = 200_000
+#: Standardised difference from which a load counts as shifted.
+SHIFT = 0.5
 LEAST_ROWS, NULL_SHARE, GAP = 30, (1, 5), (3, 10)
 
 
@@ -64,12 +66,19 @@ def registry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole profile, with standardised difference and gap rounded for reading."""
+    """The whole profile, with standardised difference and gap rounded for reading.
+
+    ``desplazado``: the mean of a load's sound values lies SHIFT pooled deviations or more from that of all other loads, with LEAST_ROWS on both
+    sides: found from the power sums alone, and finer than the gap of p3_found where a small shift moves all values.
+    """
     p = registry_profile(spark, sf_dir)
+    enough = (F.col("sanos") >= LEAST_ROWS) & (F.col("sanos_t") - F.col("sanos") >= LEAST_ROWS)
+    p = p.withColumn("desplazado", enough & F.coalesce(F.abs("diferencia_estandar") >= SHIFT, F.lit(False)))
     return p.select(
         "tabla", "campo", "carga", "filas", "faltan", "distintos", "fuera_de_forma", "fuera_de_rango", "sanos", "minimo", "maximo", "suma1", "suma2",
         F.round("media", 4).alias("media"), F.round("desviacion", 4).alias("desviacion"), F.round("diferencia_estandar", 4).alias("diferencia_estandar"),
         F.round(F.try_divide(F.col("hueco_num").cast("double"), F.col("hueco_den").cast("double")), 4).alias("hueco"),
+        "desplazado",
     )
 
 

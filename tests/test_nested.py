@@ -71,3 +71,29 @@ def test_p2_found(spark, sf):
     rows = df.collect()
     assert len(rows) == len(set(rows)) and {r.bloque for r in rows} == {"areasTerapeuticas", "calendario", "poblacion", "proposito"}
     assert all(r.valor == "1" for r in rows if r.bloque == "proposito") and all(r.ruta == "" for r in rows if r.bloque != "areasTerapeuticas")
+
+
+def test_elements_and_parents(spark):
+    import json
+
+    rows = [
+        (1, json.dumps({"b": {"xs": [{"c": 1, "ys": [{"d": 2}, None, {"d": 3}]}, {}, {"c": 4, "ys": []}]}})), (2, json.dumps({"b": {"xs": []}})), (3, json.dumps({"b": [[1, 2], [], [3]]})), (4, "{cut"), (5, None), (6, json.dumps({})),
+    ]
+    from censo.operators.shredding import shred_elements
+
+    df = spark.createDataFrame(rows, "id long, j string")
+    got = sorted((r.id, r.tabla, r.ruta, r.padre) for r in shred_elements(df, "j", ["id"], ["b"]).collect())
+    assert [g for g in got if g[0] == 1] == [(1, "xs.[]", "0", ""), (1, "xs.[]", "1", ""), (1, "xs.[]", "2", ""), (1, "xs.[].ys.[]", "0.0", "0"), (1, "xs.[].ys.[]", "0.1", "0"), (1, "xs.[].ys.[]", "0.2", "0")]
+    assert not [g for g in got if g[0] in (2, 4, 5, 6)]
+    assert [g[1:] for g in got if g[0] == 3] == [("[]", "0", ""), ("[]", "1", ""), ("[]", "2", ""), ("[].[]", "0.0", "0"), ("[].[]", "0.1", "0"), ("[].[]", "2.0", "2")]
+
+
+def test_every_leaf_has_its_element(spark, sf):
+    from censo.plans import nested as N
+    from censo.session import table
+
+    leaves = N.leaves(table(spark, sf, "detalle"), ["detalle_id"]).filter("tabla <> ''")
+    elements = N.p2_tables(spark, sf).cache()
+    assert leaves.join(elements, ["detalle_id", "bloque", "tabla", "ruta"], "left_anti").count() == 0
+    child = elements.filter("padre <> ''")
+    assert child.select("detalle_id", "bloque", "padre").distinct().join(elements.select("detalle_id", "bloque", elements["ruta"].alias("padre")).distinct(), ["detalle_id", "bloque", "padre"], "left_anti").count() == 0
