@@ -125,12 +125,11 @@ STREET = {
     "camino": "camino", "cno": "camino", "cmno": "camino", "cº": "camino", "carretera": "carretera", "carr": "carretera", "ctra": "carretera", "crta": "carretera",
 }
 STREET_REST = frozenset("bajo planta num nº numero n no piso".split())
-# Second words of street names.
-STREET_ADJECTIVE = frozenset("alta alto honda hondo blanca blanco dulce vieja viejo clara claro nueva nuevo puentes".split())
+# Adjectives that follow the noun of a street's name.
+STREET_ADJECTIVE = frozenset("alta alto baja bajo ancha ancho larga largo honda hondo blanca blanco negra negro verde dulce vieja viejo clara claro nueva nuevo grande mayor menor real".split())
 ABBREVIATIONS = frozenset({k for m in (KIND, DEDICATION, STREET) for k, v in m.items() if k != v} | set(KIND_SHORT) | {"c", "s", "n", "num", "nº", "ns", "dpto", "serv"})
 STOP = frozenset("de del la las el los y i d da do das dos e a o al".split())
 
-TOWN_WORDS = frozenset("monte vega suso sierra mar".split())
 LONG_VOCABULARY = sorted({w for w in (*KIND, *DEDICATION, *STREET, *DEPARTMENT) if len(w) >= 5})
 READABLE = sorted({w for w in (*KIND, *DEDICATION, *STREET, *DEPARTMENT, *STREET_REST) if len(w) >= 4 and w.isalpha()} | {"rio", "num"})
 LONG_ABBREVIATIONS = [w for m in (KIND, DEDICATION, STREET) for w in sorted(m) if w in ABBREVIATIONS and len(w) >= 3]
@@ -147,7 +146,7 @@ def vocabulary_word(token: str) -> str:
         fits = [w for w in READABLE if len(w) == len(token) and damerau(token, w, 0) == 0]
         if len(fits) == 1:
             return fits[0]
-    if len(token) < 5 or token in TOWN_WORDS or token in KIND or token in DEDICATION or token in STREET or token in DEPARTMENT:
+    if len(token) < 5 or token in KIND or token in DEDICATION or token in STREET or token in DEPARTMENT:
         return token
     allowed = 1 if len(token) < 9 else 2
     best, least = token, allowed + 1
@@ -209,7 +208,8 @@ def parse_centre(name: str | None, town: str | None = None) -> Centre:
     kind, opening, stems, tail, street, number = [], [], [], [], [], ""
     street_open, mark, whole = False, 0, False
     raw_parts = [s for s in segments if s]
-    parts = [[vocabulary_word(t) for t in s] for s in raw_parts]
+    # a word of the row's own town is no slip of a vocabulary word: 'Monte' beside 'Montes'
+    parts = [[t if t in town_words else vocabulary_word(t) for t in s] for s in raw_parts]
     for at, words in enumerate(parts):
         said = raw_parts[at]
         if at + 1 < len(parts) and (parts[at + 1][0].isdigit() or parts[at + 1][0] in STREET_REST) and words[0] in ("cl", "c", "co") and len(words) <= 4:
