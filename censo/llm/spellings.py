@@ -211,7 +211,9 @@ def shard_keys(text: str) -> tuple[set[str], set[str]]:
 
 def trie_join(texts: DataFrame, group: str, text: str) -> DataFrame:
     """(group, a, b, d), a < b: distinct texts of one group within their ``bound`` of edits. Exact; empty texts and nulls have no neighbour."""
-    distinct = texts.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(group).alias("g"), F.col(text).alias("t")).distinct()
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of parts: the texts are small, the keys made of them are not
+    distinct = texts.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(group).alias("g"), F.col(text).alias("t")).repartition(n, "g", "t").distinct()
     fields = [T.StructField("g", T.StringType()), T.StructField("t", T.StringType())]
     keyed_schema = T.StructType([T.StructField("k", T.LongType()), *fields, T.StructField("idx", T.BooleanType())])
     out_schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("d", T.IntegerType())])
@@ -268,7 +270,6 @@ def trie_join(texts: DataFrame, group: str, text: str) -> DataFrame:
         flush(shard)
         yield batch()
 
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = distinct.mapInArrow(keys, keyed_schema)
     # one shuffle of the keys: counting the shards first to drop lone ones would shuffle them twice more
     return keyed.repartition(n, "k").sortWithinPartitions("k").mapInArrow(join, out_schema).groupBy("g", "a", "b").agg(F.min("d").alias("d"))
