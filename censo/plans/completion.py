@@ -42,7 +42,7 @@ def targets(rows: DataFrame) -> DataFrame:
     pre_votes = pre.join(F.broadcast(by_pre), "pre")  # a postcode has at most 52 prefixes
     pre_votes = pre_votes.groupBy("site", "v").agg((F.count(F.lit(1)) * 1.25).alias("w"), F.concat(F.lit("c:"), F.min("pre")).alias("de"))
     town_votes = rows.filter("ciudad IS NOT NULL").select("site", "ciudad").distinct().join(by_town.hint("merge"), "ciudad").groupBy("site", "v").agg(F.lit(1.1).alias("w"), F.concat(F.lit("t:"), F.min("ciudad")).alias("de"))
-    votes = site_votes.unionByName(pre_votes).unionByName(town_votes).groupBy("site", "v").agg(F.sum("w").alias("w"), F.max("de").alias("de"))
+    votes = cut(site_votes.unionByName(pre_votes).unionByName(town_votes).groupBy("site", "v").agg(F.sum("w").alias("w"), F.max("de").alias("de")))
     settled = votes.groupBy("site").agg(F.max(F.struct("w", "v", "de")).alias("x")).select("site", F.col("x.v").alias("t_prov"), F.col("x.de").alias("de_prov"))
     settled = settled.join(region_of.select(F.col("prov").alias("t_prov"), "region_of"), "t_prov", "left")
     site_region = consensus(rows, "site", "region").select("site", F.col("region").alias("site_region"))
@@ -69,7 +69,7 @@ def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"provincia": "prov", "ccaa": "region", "cod_postal": "cp"}
     # only rows that say what is agreed on are carried
     said = whole.select("center_id", "site", "actualizado_en", *(F.when(F.col(c) == F.col(f"t_{c}"), F.col(c)).alias(c) for c in fields.values()))
-    filled = fill_over_time(said, "site", "actualizado_en", "center_id", [], list(fields.values()), MAX_GAP_DAYS)
+    filled = cut(fill_over_time(said, "site", "actualizado_en", "center_id", [], list(fields.values()), MAX_GAP_DAYS))
     missing = whole.filter("NOT fuera AND (prov IS NULL OR region IS NULL OR cp IS NULL)").select("center_id", "ciudad", "t_prov", "de_prov", "t_region", "t_cp", *(F.col(c).isNull().alias(f"sin_{c}") for c in fields.values()))
     beyond = {"prov": F.col("de_prov"), "region": F.concat(F.lit("p:"), "t_prov"), "cp": F.concat(F.lit("t:"), "ciudad")}
     one = lambda campo, c: F.when(F.col(f"sin_{c}") & F.col(f"t_{c}").isNotNull(), F.struct(F.lit(campo).alias("campo"), F.col(f"t_{c}").alias("meta"), F.col(c).alias("valor"), F.col(f"{c}_metodo").alias("metodo"), F.col(f"{c}_distancia").alias("distancia"), F.concat(F.lit(f"{campo}|"), beyond[c]).alias("de")))
@@ -83,6 +83,7 @@ def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = whole.select("center_id", "actualizado_en", F.explode(F.array_compact(F.array(give("provincia", town, "prov"), give("provincia", prefix, "prov"), give("ccaa", F.concat(F.lit("p:"), "prov"), "region"), give("cod_postal", town, "cp")))).alias("x")).select("center_id", "actualizado_en", "x.*")
     asked = open_.filter("de IS NOT NULL").groupBy("de").agg(F.min("meta").alias("meta"), F.max("meta").alias("meta_hi"))
     given = given.join(asked.hint("merge"), "de").filter("v = meta OR v = meta_hi").select("center_id", "actualizado_en", "de", "v")
+    given = cut(given)  # small plans: the driver keeps every plan and re-plans it at each stage
     both = open_.select("center_id", "actualizado_en", "de", F.lit(None).cast("string").alias("v"), "campo", "meta").unionByName(given.withColumn("campo", F.lit(None).cast("string")).withColumn("meta", F.lit(None).cast("string")))
     far = fill_over_time(both, "de", "actualizado_en", "center_id", [], ["v"], MAX_GAP_DAYS).filter("campo IS NOT NULL")
     agreed = F.coalesce(F.col("v") == F.col("meta"), F.lit(False))
